@@ -9,6 +9,7 @@ from pageloom.functions.text import WS_CLASS, count_tokens, strip
 
 # A paragraph ends after a code block or after blank lines.
 PARAGRAPH_END = r"(\n---\nCODE BLOCK:[\s\S]*?\n---\n|\n\n+)"
+LINE_END = r"(?<=[\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029])|(?<=\r)(?!\n)"
 _CUT = "\x01"
 
 # Kinds of unit: a paragraph, the first piece of a forced paragraph, a later piece.
@@ -28,23 +29,36 @@ def _units(text: Column, max_tokens: int, force_tokens: int) -> Column:
             part.alias("text"), kind.alias("kind"), by_line.alias("by_line"), count_tokens(part).alias("n_tokens")
         )
 
-    def pieces(paragraph: Column) -> Column:
-        sentences = F.split(paragraph, rf"(?<=[.!?])[{WS_CLASS}]+")
-        # splitlines keeps each line end with its line.
-        lines = F.split(paragraph, r"(?<=[\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029])|(?<=\r)(?!\n)")
-        by_line = F.size(sentences) <= 1
-        parts = F.filter(F.when(by_line, lines).otherwise(sentences), lambda s: s != "")
-        return F.transform(
-            parts,
-            lambda s, i: unit(s, F.when(i == 0, F.lit(_FIRST_PIECE)).otherwise(F.lit(_NEXT_PIECE)), by_line),
-        )
-
+    # Each transform binds what the next one reads, so that a long paragraph is
+    # split once and not once for each of its pieces.
+    sentences = F.transform(
+        paragraphs,
+        lambda p: F.struct(
+            p.alias("text"),
+            F.when(count_tokens(p) > force_tokens, F.split(p, rf"(?<=[.!?])[{WS_CLASS}]+")).alias("sentences"),
+        ),
+    )
+    pieces = F.transform(
+        sentences,
+        lambda p: F.struct(
+            p["text"].alias("text"),
+            (F.size(p["sentences"]) <= 1).alias("by_line"),
+            # Without sentences: lines, each with its line end.
+            F.when(F.size(p["sentences"]) <= 1, F.split(p["text"], LINE_END)).otherwise(p["sentences"]).alias("parts"),
+        ),
+    )
     return F.flatten(
         F.transform(
-            paragraphs,
-            lambda p: F.when(count_tokens(p) > force_tokens, pieces(p)).otherwise(
-                F.array(unit(p, F.lit(_WHOLE), F.lit(False)))
-            ),
+            pieces,
+            lambda p: F.when(
+                p["parts"].isNotNull(),
+                F.transform(
+                    F.filter(p["parts"], lambda s: s != ""),
+                    lambda s, i: unit(
+                        s, F.when(i == 0, F.lit(_FIRST_PIECE)).otherwise(F.lit(_NEXT_PIECE)), p["by_line"]
+                    ),
+                ),
+            ).otherwise(F.array(unit(p["text"], F.lit(_WHOLE), F.lit(False)))),
         )
     )
 
@@ -102,10 +116,12 @@ def chunk_documents(
     split = split.filter(F.size("_units") > 0)
     started = split.withColumn("_starts", _chunk_starts(F.col("_units"), max_tokens, separator_tokens))
 
-    def chunk(first: Column, number: Column) -> Column:
+    def members(first: Column, number: Column) -> Column:
         following = F.coalesce(F.get(F.col("_starts"), number + 1), F.size("_units"))
-        units = F.slice(F.col("_units"), first + 1, following - first)
-        head = F.element_at(units, 1)
+        return F.slice(F.col("_units"), first + 1, following - first)
+
+    def chunk(units: Column, number: Column) -> Column:
+        head = F.get(units, F.lit(0))
         glue = (
             F.when(head["kind"] == _WHOLE, F.lit("\n\n")).when(head["by_line"], F.lit("")).otherwise(F.lit(sentence_sep))
         )
@@ -115,5 +131,5 @@ def chunk_documents(
         lost = F.when(cut, F.greatest(F.length(head["text"]) - 4 * max_tokens, F.lit(0))).otherwise(F.lit(0))
         return F.struct(number.alias("chunk_no"), kept.alias("text"), lost.alias("n_chars_lost"))
 
-    exploded = started.select(*keep, F.inline(F.transform("_starts", chunk)))
+    exploded = started.select(*keep, F.inline(F.transform(F.transform("_starts", members), chunk)))
     return exploded.select(*keep, "chunk_no", "text", count_tokens(F.col("text")).alias("n_tokens"), "n_chars_lost")
