@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ WHITESPACE = (
 WS_CLASS = r"\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once per row and not at each of its uses."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Cut white space from both ends; linear in the text, no regular expression."""
     return F.btrim(text, F.lit(WHITESPACE))

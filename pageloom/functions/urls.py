@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pageloom.functions.text import strip
+from pageloom.functions.text import bind, strip
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 _NETLOC = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
@@ -56,18 +56,21 @@ def strip_fragment(url: Column) -> Column:
 
 def link_base(url: Column) -> Column:
     """What joining needs of a page URL, as one struct to be computed once per page."""
-    path = url_path(url)
-    folder = F.split(path, "/")
-    return F.struct(
-        url_scheme(url).alias("scheme"),
-        url_netloc(url).alias("netloc"),
-        path.alias("path"),
-        url_query(url).alias("query"),
-        # The last segment is a file name unless it is empty.
-        F.when(F.element_at(folder, -1) != "", F.slice(folder, F.lit(1), F.size(folder) - 1))
-        .otherwise(folder)
-        .alias("folder"),
-    )
+
+    def base(parts: Column) -> Column:
+        folder = F.split(parts["path"], "/")
+        return F.struct(
+            parts["scheme"].alias("scheme"),
+            parts["netloc"].alias("netloc"),
+            parts["path"].alias("path"),
+            parts["query"].alias("query"),
+            # The last segment is a file name unless it is empty.
+            F.when(parts["path"].endswith("/") | (parts["path"] == ""), folder)
+            .otherwise(F.slice(folder, F.lit(1), F.size(folder) - 1))
+            .alias("folder"),
+        )
+
+    return bind(url_parts(url), base)
 
 
 def _drop_dots(segments: Column) -> Column:
@@ -78,19 +81,25 @@ def _drop_dots(segments: Column) -> Column:
         .when(part == ".", done)
         .otherwise(F.array_append(done, part)),
     )
-    path = F.array_join(
-        F.when(F.element_at(segments, -1).isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept), "/"
-    )
-    return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+    # A path that ends in a dot segment names a folder.
+    ended = F.when(F.element_at(segments, -1).isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
+    return F.regexp_replace(F.array_join(ended, "/"), r"^(?!/)", "/")
 
 
 def _unsplit(scheme: Column, netloc: Column, path: Column, query: Column) -> Column:
-    rooted = F.when((path == "") | path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
-    return F.concat(
-        scheme,
-        F.when(netloc == "", F.concat(F.lit(":"), path)).otherwise(F.concat(F.lit("://"), netloc, rooted)),
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),
-    )
+    def url(p: Column) -> Column:
+        site = F.when(
+            p["netloc"] != "",
+            F.concat(
+                F.lit("//"), p["netloc"],
+                F.when((p["path"] != "") & ~p["path"].startswith("/"), F.lit("/")).otherwise(F.lit("")),
+            ),
+        ).otherwise(F.lit(""))
+        asked = F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).otherwise(F.lit(""))
+        return F.concat(p["scheme"], F.lit(":"), site, p["path"], asked)
+
+    parts = F.struct(scheme.alias("scheme"), netloc.alias("netloc"), path.alias("path"), query.alias("query"))
+    return bind(parts, url)
 
 
 def join_link(base: Column, href: Column) -> Column:
@@ -98,35 +107,51 @@ def join_link(base: Column, href: Column) -> Column:
 
     `base` is a link_base struct.
     """
-    link = F.regexp_replace(strip(href), r"[\t\r\n]", "")
-    own_scheme = url_scheme(link)
-    scheme = F.when(own_scheme == "", base["scheme"]).otherwise(own_scheme)
-    netloc, path, query = url_netloc(link), url_path(link), url_query(link)
-    foreign = (own_scheme != "") & (own_scheme != base["scheme"])
-
-    # A relative path is hung into the page's folder; empty inner segments vanish.
-    hung = F.concat(base["folder"], F.split(path, "/"))
-    inner = F.filter(F.slice(hung, F.lit(2), F.greatest(F.size(hung) - 2, F.lit(0))), lambda s: s != "")
-    hung = F.concat(F.slice(hung, 1, 1), inner, F.slice(hung, -1, 1))
-
-    joined = (
-        F.when(foreign | (netloc != ""), _unsplit(scheme, netloc, path, query))
-        .when(
-            path == "",
-            _unsplit(scheme, base["netloc"], base["path"], F.when(query != "", query).otherwise(base["query"])),
+
+    def hang(path: Column) -> Column:
+        """A relative path in the page's folder; empty inner segments vanish."""
+        return bind(
+            F.concat(base["folder"], F.split(path, "/")),
+            lambda all_: F.concat(
+                F.slice(all_, 1, 1),
+                F.filter(F.slice(all_, F.lit(2), F.greatest(F.size(all_) - 2, F.lit(0))), lambda s: s != ""),
+                F.slice(all_, -1, 1),
+            ),
+        )
+
+    def join(link: Column) -> Column:
+        own, path = link["scheme"], link["path"]
+        absolute = ((own != "") & (own != base["scheme"])) | (link["netloc"] != "")
+        segments = F.when(path.startswith("/"), F.split(path, "/")).otherwise(hang(path))
+        joined_path = (
+            F.when(absolute, path)
+            .when(path == "", base["path"])
+            .when(path.startswith("/") & ~path.contains("/."), path)
+            .otherwise(bind(segments, _drop_dots))
+        )
+        keeps_query = ~absolute & (path == "") & (link["query"] == "")
+        return _unsplit(
+            F.when(own == "", base["scheme"]).otherwise(own),
+            F.when(absolute, link["netloc"]).otherwise(base["netloc"]),
+            joined_path,
+            F.when(keeps_query, base["query"]).otherwise(link["query"]),
         )
-        .when(path.startswith("/") & ~path.contains("/."), _unsplit(scheme, base["netloc"], path, query))
-        .when(path.startswith("/"), _unsplit(scheme, base["netloc"], _drop_dots(F.split(path, "/")), query))
-        .otherwise(_unsplit(scheme, base["netloc"], _drop_dots(hung), query))
+
+    def usable(link: Column) -> Column:
+        scheme = F.when(link["scheme"] == "", base["scheme"]).otherwise(link["scheme"])
+        # An unbalanced bracket in the host makes the link unreadable.
+        balanced = link["netloc"].contains("[") == link["netloc"].contains("]")
+        return scheme.isin("http", "https") & balanced
+
+    text = F.regexp_replace(strip(href), r"[\t\r\n]", "")
+    return bind(
+        bind(text, url_parts), lambda link: F.when(usable(link), join(link))
     )
-    # An unbalanced bracket in the host makes the link unreadable.
-    readable = netloc.contains("[") == netloc.contains("]")
-    return F.when(scheme.isin("http", "https") & readable, joined)
 
 
 def resolve_link(base_url: Column, href: Column) -> Column:
     """join_link for a plain page URL."""
-    return join_link(link_base(base_url), href)
+    return bind(link_base(base_url), lambda base: join_link(base, href))
 
 
 def base_path(start_url: Column) -> Column:
@@ -141,10 +166,8 @@ def url_site(url: Column) -> Column:
 
 def queue_decision(url: Column, depth: Column, base: Column, max_depth: int, visited: Column | None = None) -> Column:
     """Why a link is not queued (first failing rule), or null if it is admitted."""
-    path = F.lower(url_path(url))
-    excluded = F.lit(False)
-    for ext in EXCLUDED_EXTENSIONS:
-        excluded = excluded | path.endswith(ext)
+    endings = "|".join(ext.removeprefix(".") for ext in EXCLUDED_EXTENSIONS)
+    excluded = url_path(url).rlike(rf"(?i)\.(?:{endings})$")
     seen = F.lit(False) if visited is None else visited
     return (
         F.when(seen, "visited")

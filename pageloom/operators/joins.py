@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 # beyond it are joined the ordinary way, so the result does not depend on it.
 MAX_HOT_KEYS = 1000
 
+# Rows that Spark estimates below this size in all cannot hide a hot key.
+SMALL_BYTES = 256 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's own size estimate of a plan; for a written table, the size of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
 
 def lookup_join(
     rows: DataFrame,
@@ -18,17 +26,21 @@ def lookup_join(
     how: str = "left",
     hot_rows: int = 1_000_000,
     salts: int = 64,
+    small_bytes: int = SMALL_BYTES,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Join rows with a table, spreading keys that hold more than `hot_rows` rows.
 
     A hot key's rows are divided among `salts` tasks by a hash of `spread_by`,
     and its table rows are repeated once for each; every other key is joined
     once. Only left and inner joins are offered, where this leaves the result
-    unchanged.
+    unchanged. Keys are counted in `counted` if rows are dear to compute twice.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"lookup_join cannot do a {how} join")
-    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    if estimated_bytes(rows) < small_bytes:
+        return rows.join(table, on, how)
+    counts = (rows if counted is None else counted).groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
     hot = counts.orderBy(F.col("_n").desc()).limit(MAX_HOT_KEYS).select(*on, F.lit(True).alias("_hot"))
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     salted = (

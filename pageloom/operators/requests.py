@@ -104,15 +104,16 @@ def merge_requests(
     joined: DataFrame, model: str = Settings.merge_model, completion: int = Settings.merge_completion,
     prompts: Prompts = Prompts(),
 ) -> DataFrame:
-    """One request per batch of joined(topic, level, batch_no, text); the text is cut to the model's room."""
+    """One request per batch of joined(topic, level, batch_no, text[, name]); the text is cut to the model's room."""
     room = context_tokens(model) - completion - 500
+    name = F.col("name" if "name" in joined.columns else "topic")
     text = truncate_tokens(F.col("text"), room)
-    system = F.when(
-        F.col("level") == 0, fill(prompts.merge_system, topic=F.col("topic"))
-    ).otherwise(fill(prompts.merge_next_system, topic=F.col("topic")))
+    system = F.when(F.col("level") == 0, fill(prompts.merge_system, topic=name)).otherwise(
+        fill(prompts.merge_next_system, topic=name)
+    )
     columns = _request(
         "merge", model, [F.col("topic"), F.col("level"), F.col("batch_no")],
-        fill(prompts.merge, topic=F.col("topic"), text=text), system, F.lit(completion), 0.1,
+        fill(prompts.merge, topic=name, text=text), system, F.lit(completion), 0.1,
     )
     return joined.select("topic", "level", "batch_no", *columns)
 
@@ -120,11 +121,12 @@ def merge_requests(
 def rating_requests(
     docs: DataFrame, model: str = Settings.rating_model, prompts: Prompts = Prompts()
 ) -> DataFrame:
-    """One request per non-empty doc(topic, text)."""
+    """One request per non-empty doc(topic, text[, name])."""
+    name = F.col("name" if "name" in docs.columns else "topic")
     text = truncate_tokens(F.col("text"), context_tokens(model) - 1000)
     columns = _request(
-        "rate", model, [F.col("topic")], fill(prompts.rate, topic=F.col("topic"), text=text),
-        fill(prompts.rate_system, topic=F.col("topic")), F.lit(None), 0.3,
+        "rate", model, [F.col("topic")], fill(prompts.rate, topic=name, text=text),
+        fill(prompts.rate_system, topic=name), F.lit(None), 0.3,
     )
     return docs.filter(F.coalesce(F.col("text"), F.lit("")) != "").select("topic", *columns)
 

@@ -63,7 +63,6 @@ def crawl(
     links(src_url, dst_url) may be given in place of the links in the pages.
     The corpus has the page's html as content and its cleaned text.
     """
-    spark = seeds.sparkSession
     source = pages.select("url", "html").filter(F.col("html").isNotNull())
     use_topics = vectors is not None and "topic_vector" in seeds.columns and threshold <= 1.0
     frontier = materialize(start_frontier(seeds))
@@ -83,7 +82,7 @@ def crawl(
         known = [c for c in ("vector", "links") if c in nodes.columns]
         step = fetch_from_corpus(frontier, nodes.select("url", (F.col("text") != "").alias("has_text"), *known))
         if use_topics:
-            step = lookup_join(step, seeds.select("seed_id", "topic_vector"), ["seed_id"], ["url"])
+            step = lookup_join(step, seeds.select("seed_id", "topic_vector"), ["seed_id"], ["url"], counted=frontier)
         none = F.lit(None).cast("array<float>")
         verdict, score = relevance_columns(
             F.coalesce(F.col("has_text"), F.lit(False)),

@@ -34,20 +34,23 @@ def merge_plan(texts: DataFrame, model: str = Settings.merge_model, level: int =
 
 
 def join_texts(batches: DataFrame) -> DataFrame:
-    """The texts of each batch under a title: batches(topic, level, batch_no, seq, text).
+    """The texts of each batch under a title: batches(topic, level, batch_no, seq, text[, name]).
 
-    A batch is bounded by the limit it was planned with, so its list is too.
+    name is what the topic is called, by default the topic itself. A batch is bounded by the limit it was planned with, so its list is too.
     """
+    if "name" not in batches.columns:
+        batches = batches.withColumn("name", F.col("topic"))
     grouped = batches.groupBy("topic", "level", "batch_no").agg(
+        F.first("name").alias("name"),
         F.count(F.lit(1)).alias("n_texts"),
         F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda s: s["text"]).alias("_texts"),
     )
     first = F.col("level") == 0
     joined = F.when(
-        first, F.concat(F.lit(RAW_TITLE), "topic", F.lit(RAW_MARK), F.array_join("_texts", RAW_MARK))
-    ).otherwise(F.concat(F.lit(NEXT_TITLE), "topic", F.lit(NEXT_MARK), F.array_join("_texts", NEXT_MARK)))
+        first, F.concat(F.lit(RAW_TITLE), "name", F.lit(RAW_MARK), F.array_join("_texts", RAW_MARK))
+    ).otherwise(F.concat(F.lit(NEXT_TITLE), "name", F.lit(NEXT_MARK), F.array_join("_texts", NEXT_MARK)))
     return grouped.select(
-        "topic", "level", "batch_no", "n_texts", joined.alias("text"), F.get("_texts", F.lit(0)).alias("first_text")
+        "topic", "name", "level", "batch_no", "n_texts", joined.alias("text"), F.get("_texts", F.lit(0)).alias("first_text")
     )
 
 
@@ -58,7 +61,7 @@ def merge_levels(
     max_levels: int = Settings.max_merge_levels,
     limit: int | None = None,
 ) -> DataFrame:
-    """documents(topic, level, text) from extracts(topic, seq, text); all topics advance together.
+    """documents(topic, level, text) from extracts(topic, seq, text[, name]); all topics advance together.
 
     On each level a topic with one text is done, one whose texts fit into the
     limit is merged for the last time, and any other is merged batch by batch.
@@ -68,7 +71,8 @@ def merge_levels(
     """
     spark = extracts.sparkSession
     done: list[DataFrame] = []
-    texts = extracts.select("topic", "seq", "text").filter(F.coalesce(F.col("text"), F.lit("")) != "")
+    named = extracts if "name" in extracts.columns else extracts.withColumn("name", F.col("topic"))
+    texts = named.select("topic", "name", "seq", "text").filter(F.coalesce(F.col("text"), F.lit("")) != "")
     for level in range(max_levels):
         sized = texts.withColumn("n_tokens", count_tokens(F.col("text")))
         plan = plan_batches(sized.select("topic", "seq", "n_tokens"), limit or batch_limit(model))
@@ -85,14 +89,14 @@ def merge_levels(
 
         open_batches = first.unionByName(later).filter("not (is_last and n_texts = 1)")
         requests = merge_requests(open_batches, model)
-        marked = requests.join(open_batches.select("topic", "batch_no", "is_last"), ["topic", "batch_no"])
+        marked = requests.join(open_batches.select("topic", "name", "batch_no", "is_last"), ["topic", "batch_no"])
         answered = materialize(
             attach_responses(marked, responder(requests))
             .filter(F.col("response").isNotNull())
-            .select("topic", "level", "batch_no", "is_last", F.col("response").alias("text"))
+            .select("topic", "name", "level", "batch_no", "is_last", F.col("response").alias("text"))
         )
         done.append(answered.filter("is_last").select("topic", "level", "text"))
-        texts = answered.filter("not is_last").select("topic", F.col("batch_no").alias("seq"), "text")
+        texts = answered.filter("not is_last").select("topic", "name", F.col("batch_no").alias("seq"), "text")
         if texts.isEmpty():
             break
     if not done:

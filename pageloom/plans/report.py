@@ -86,8 +86,12 @@ def build_corpus_report(
     read = corpus.select("seed_id", "url", "depth")
     kept = extracts.filter("outcome = 'kept'").select("url", "chunk_no", "analysis")
     per_seed = lookup_join(read, kept, ["url"], ["seed_id"], "inner")
+    per_seed = lookup_join(per_seed, seeds.select("seed_id", "topic"), ["seed_id"], ["url"], "inner", counted=read)
     ordered = with_sequence(per_seed, ["seed_id"], ["depth", "url", "chunk_no"])
-    texts = ordered.select(F.col("seed_id").cast("string").alias("topic"), "seq", F.col("analysis").alias("text"))
+    texts = ordered.select(
+        F.col("seed_id").cast("string").alias("topic"), F.col("topic").alias("name"), "seq",
+        F.col("analysis").alias("text"),
+    )
     named = seeds.select(
         F.col("seed_id").cast("string").alias("_seed"), F.col("topic").alias("_topic"),
         F.col("start_url").alias("source_url"), url_netloc(F.col("start_url")).alias("domain"),
@@ -100,7 +104,7 @@ def build_corpus_report(
     documents = materialize(documents)
 
     to_rate = rating_requests(
-        documents.select(F.col("seed_id").alias("topic"), F.col("body").alias("text")), settings.rating_model
+        documents.select(F.col("seed_id").alias("topic"), F.col("topic").alias("name"), F.col("body").alias("text")), settings.rating_model
     )
     ratings = parse_ratings(attach_responses(to_rate, responder(to_rate)))
     ratings = ratings.withColumnRenamed("topic", "seed_id").join(documents.select("seed_id", "topic", "domain"), "seed_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # US dollars per million tokens, (input, output).
 MODEL_PRICING = {
@@ -68,13 +69,22 @@ def alternative_model(model: str) -> str:
     return "gpt-4o" if "mini" in model else "gpt-4o-mini"
 
 
+def _small_table(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """A few rows as one constant expression, without a Python row source."""
+    structs = [F.struct(*[F.lit(v).alias(k) for k, v in row.items()]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def model_pricing(spark: SparkSession) -> DataFrame:
     """Nine rows: model, input_usd, output_usd."""
-    rows = [(m, i, o) for m, (i, o) in MODEL_PRICING.items()]
-    return spark.createDataFrame(rows, "model string, input_usd double, output_usd double")
+    return _small_table(
+        spark, [{"model": m, "input_usd": i, "output_usd": o} for m, (i, o) in MODEL_PRICING.items()]
+    )
 
 
 def model_limits(spark: SparkSession) -> DataFrame:
     """Six rows: model, context_tokens, is_prefix."""
-    rows = [(m, c, m in MODEL_PREFIXES) for m, c in MODEL_CONTEXT.items()]
-    return spark.createDataFrame(rows, "model string, context_tokens int, is_prefix boolean")
+    return _small_table(
+        spark,
+        [{"model": m, "context_tokens": c, "is_prefix": m in MODEL_PREFIXES} for m, c in MODEL_CONTEXT.items()],
+    )

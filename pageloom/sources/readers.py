@@ -70,11 +70,7 @@ def html_only(responses: DataFrame) -> DataFrame:
 
 def read_documents(spark: SparkSession, directory: str) -> DataFrame:
     """documents(file_name, text) of the .txt files directly in a directory."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "false")
-        .load(directory.rstrip("/") + "/*.txt")
-    )
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(directory)
     return files.select(
         F.element_at(F.split("path", "/"), -1).alias("file_name"), decode_utf8_lenient(F.col("content")).alias("text")
     )
