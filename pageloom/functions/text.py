@@ -37,7 +37,7 @@ def count_tokens(text: Column, mode: str = "chars") -> Column:
     if mode == "chars":
         n = F.floor(F.length(text) / 4)
     elif mode == "words":
-        n = F.size(F.regexp_extract_all(text, F.lit(rf"[^{WS_CLASS}]+|\n"), F.lit(0))).cast("bigint")
+        n = F.size(F.regexp_extract_all(text, F.lit(r"(?U)[^\s\x1c-\x1f]+|\n"), F.lit(0))).cast("bigint")
     else:
         raise ValueError(f"unknown token mode {mode!r}")
     return F.when(text.isNull(), F.lit(0).cast("bigint")).otherwise(n)

@@ -113,7 +113,6 @@ def chunk_documents(
     force_tokens = int(max_tokens * 1.2)
     keep = [c for c in clean.columns if c not in ("text", "n_tokens", "chunk_no", "n_chars_lost")]
     split = clean.select(*keep, _units(F.col("text"), max_tokens, force_tokens).alias("_units"))
-    split = split.filter(F.size("_units") > 0)
     started = split.withColumn("_starts", _chunk_starts(F.col("_units"), max_tokens, separator_tokens))
 
     def members(first: Column, number: Column) -> Column:

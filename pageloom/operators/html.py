@@ -349,4 +349,7 @@ def with_links(pages: DataFrame, same_site: bool = False) -> DataFrame:
 def extract_links(pages: DataFrame) -> DataFrame:
     """links(src_url, dst_url), each target once per page."""
     linked = with_links(pages.select("url", "html"))
-    return linked.select(F.col("url").alias("src_url"), F.explode("links").alias("dst_url"))
+    # For a plain explode Spark infers a filter on `links` and works them out
+    # a second time below it; the outer one has no such filter.
+    targets = linked.select(F.col("url").alias("src_url"), F.explode_outer("links").alias("dst_url"))
+    return targets.filter(F.col("dst_url").isNotNull())

@@ -19,6 +19,7 @@ from pageloom.functions.text import (
 )
 from pageloom.operators import batches, chunk, clean, html, models, relevance, requests
 from pageloom.operators.sequence import with_sequence
+from pageloom.operators.storage import materialize
 from pageloom.plans import crawl as crawling
 from pageloom.plans import ingest as ingesting
 from pageloom.plans import merge
@@ -36,7 +37,7 @@ MODELS = (
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return readers.read_table(spark, f"{sf}/{name}.parquet")
 
 
 def digest(text: Column) -> Column:
@@ -83,7 +84,7 @@ def _candidates(spark, sf) -> DataFrame:
     linked = html.with_links(pages).withColumn("plain", urls.strip_fragment(F.col("url")))
     own = F.array("plain", F.concat("plain", F.lit(".PDF")), F.concat("plain", F.lit("/x")), F.concat(F.lit("ftp:"), "plain"))
     return linked.select(
-        "page_id", "url", F.explode(F.array_union("links", own)).alias("link"),
+        "page_id", "url", F.explode_outer(F.array_union("links", own)).alias("link"),
         (F.col("page_id") % 2 + 1).cast("int").alias("depth"),
     )
 
@@ -283,7 +284,8 @@ def _next_links(spark, sf) -> DataFrame:
     numbered = with_sequence(pages, ["site"], ["page_id"])
     target = numbered.select("site", "seq", F.col("url").alias("dst_url"))
     steps = numbered.select("site", F.col("url").alias("src_url"), F.explode(F.array(F.col("seq") + 1, F.col("seq") + 2)).alias("seq"))
-    return steps.join(target, ["site", "seq"]).select("src_url", "dst_url")
+    # The crawl reads its links once per level.
+    return materialize(steps.join(target, ["site", "seq"]).select("src_url", "dst_url"))
 
 
 def _site_seeds(spark, sf) -> DataFrame:
@@ -519,7 +521,7 @@ def merge_plan(spark, sf):
 
 def small_batches(spark, sf):
     """A low limit, so that many texts exceed it, in small blocks composed over several levels."""
-    return batches.plan_batches(_sizes(spark, sf), 1000, block_rows=64, fan_in=4)
+    return batches.plan_batches(_sizes(spark, sf), 1000, block_rows=256, fan_in=8)
 
 
 def _joined(spark, sf) -> DataFrame:

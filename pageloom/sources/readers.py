@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions.text import decode_utf8_lenient
 from pageloom.functions.urls import path_extension, url_path
+from pageloom.operators.joins import SMALL_BYTES, estimated_bytes
 from pageloom.settings import Settings
 
 # The corpus extensions in any case, as a file-name pattern, so that no other
@@ -14,9 +15,22 @@ from pageloom.settings import Settings
 MARKDOWN_GLOB = "*.{[mM][dD],[mM][dD][xX],[mM][aA][rR][kK][dD][oO][wW][nN]}"
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table; one too small to fill the cores with its own splits is dealt out to them.
+
+    A file with one row group is one task however many cores there are, which
+    counts when each row is dear to process. Above SMALL_BYTES the table has
+    splits enough and is read as it lies, without a shuffle.
+    """
+    df = spark.read.parquet(path)
+    if estimated_bytes(df) < SMALL_BYTES:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
+
+
 def load_pages(spark: SparkSession, path: str) -> DataFrame:
     """corpus(url, content, type, depth, path) of a Parquet table with url and html."""
-    return spark.read.parquet(path).select(
+    return read_table(spark, path).select(
         "url",
         F.col("html").alias("content"),
         F.lit("html").alias("type"),
