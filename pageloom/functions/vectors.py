@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pageloom.functions.text import bind
+
 
 def _dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -13,9 +15,15 @@ def _dot(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine in double precision, within [-1, 1]; 0 where it has no meaning."""
-    norms = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
-    value = F.when(norms == 0, F.lit(0.0)).otherwise(
-        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(_dot(a, b), norms)))
-    )
+
+    def clipped(value: Column) -> Column:
+        return (
+            F.when(value.isNull() | F.isnan(value), F.lit(0.0))
+            .when(value > 1, F.lit(1.0))
+            .when(value < -1, F.lit(-1.0))
+            .otherwise(value)
+        )
+
     usable = a.isNotNull() & b.isNotNull() & (F.size(a) == F.size(b)) & (F.size(a) > 0)
-    return F.when(usable, F.coalesce(value, F.lit(0.0))).otherwise(F.lit(0.0))
+    norms = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
+    return F.when(usable, bind(F.try_divide(_dot(a, b), norms), clipped)).otherwise(F.lit(0.0))

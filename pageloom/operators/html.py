@@ -255,7 +255,8 @@ def page_blocks(html: Column, nested: str = "all") -> Column:
         parsed = [parse_blocks(p, nested) or {"blocks": None, "fallback": None} for p in pages]
         return pd.DataFrame(parsed, columns=["blocks", "fallback"])
 
-    return blocks(html)
+    # Not to be parsed again in a filter that Spark moves below the projection.
+    return blocks.asNondeterministic()(html)
 
 
 def render_blocks(blocks: Column) -> Column:

@@ -6,7 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions.text import count_tokens
-from pageloom.settings import DEFAULT_CONTEXT, Settings, alternative_model, model_limits, model_pricing
+from pageloom.settings import (
+    DEFAULT_CONTEXT,
+    MODEL_CONTEXT,
+    MODEL_PREFIXES,
+    Settings,
+    alternative_model,
+    model_limits,
+    model_pricing,
+)
 
 
 def with_model_price(df: DataFrame, model: str = "model") -> DataFrame:
@@ -18,20 +26,12 @@ def with_model_price(df: DataFrame, model: str = "model") -> DataFrame:
 
 def with_model_limit(df: DataFrame, model: str = "model") -> DataFrame:
     """df with context_tokens: by exact name, else by longest known beginning, else the default."""
-    limits = model_limits(df.sparkSession)
-    # One map of six entries per side of the rule, aggregated from the table.
-    known = limits.agg(
-        F.map_from_entries(F.collect_list(F.struct("model", "context_tokens"))).alias("_exact"),
-        F.sort_array(
-            F.collect_list(F.when(F.col("is_prefix"), F.struct(F.length("model").alias("n"), "model", "context_tokens"))),
-            asc=False,
-        ).alias("_prefixes"),
-    ).select("_exact", "_prefixes", F.lit(1).alias("_one"))
-    name = F.col(model)
-    by_prefix = F.get(F.filter("_prefixes", lambda p: name.startswith(p["model"])), F.lit(0))["context_tokens"]
-    joined = df.withColumn("_one", F.lit(1)).join(F.broadcast(known), "_one")  # one row
-    limit = F.coalesce(F.try_element_at("_exact", name), by_prefix, F.lit(DEFAULT_CONTEXT))
-    return joined.withColumn("context_tokens", limit).drop("_one", "_exact", "_prefixes")
+    longest_first = sorted(MODEL_PREFIXES, key=len, reverse=True)
+    beginning = F.regexp_extract(F.col(model), "^(" + "|".join(p.replace(".", r"\.") for p in longest_first) + ")", 1)
+    known = F.when(F.col(model).isin(*MODEL_CONTEXT), F.col(model)).otherwise(beginning)
+    limits = model_limits(df.sparkSession).withColumnRenamed("model", "_known")
+    found = df.withColumn("_known", known).join(F.broadcast(limits), "_known", "left").drop("_known")  # six rows
+    return found.withColumn("context_tokens", F.coalesce("context_tokens", F.lit(DEFAULT_CONTEXT)))
 
 
 def token_totals(clean: DataFrame, by: list[str] | None = None) -> DataFrame:

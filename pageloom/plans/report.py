@@ -82,13 +82,14 @@ def build_corpus_report(
         )
     )
 
-    # Extracts follow the order pages were found in, then their place on the page.
+    # Extracts follow the order pages were found in, then their place on the
+    # page. Only keys are numbered; the texts are joined once they have a place.
     read = corpus.select("seed_id", "url", "depth")
     kept = extracts.filter("outcome = 'kept'").select("url", "chunk_no", "analysis")
-    per_seed = lookup_join(read, kept, ["url"], ["seed_id"], "inner")
-    per_seed = lookup_join(per_seed, seeds.select("seed_id", "topic"), ["seed_id"], ["url"], "inner", counted=read)
-    ordered = with_sequence(per_seed, ["seed_id"], ["depth", "url", "chunk_no"])
-    texts = ordered.select(
+    places = lookup_join(read, kept.select("url", "chunk_no"), ["url"], ["seed_id"], "inner")
+    numbered = with_sequence(places, ["seed_id"], ["depth", "url", "chunk_no"])
+    titled = lookup_join(numbered, seeds.select("seed_id", "topic"), ["seed_id"], ["url"], "inner", counted=read)
+    texts = lookup_join(titled, kept, ["url", "chunk_no"], ["seed_id"], "inner", counted=places).select(
         F.col("seed_id").cast("string").alias("topic"), F.col("topic").alias("name"), "seq",
         F.col("analysis").alias("text"),
     )

@@ -83,8 +83,5 @@ def model_pricing(spark: SparkSession) -> DataFrame:
 
 
 def model_limits(spark: SparkSession) -> DataFrame:
-    """Six rows: model, context_tokens, is_prefix."""
-    return _small_table(
-        spark,
-        [{"model": m, "context_tokens": c, "is_prefix": m in MODEL_PREFIXES} for m, c in MODEL_CONTEXT.items()],
-    )
+    """Six rows: model, context_tokens."""
+    return _small_table(spark, [{"model": m, "context_tokens": c} for m, c in MODEL_CONTEXT.items()])

@@ -47,13 +47,14 @@ def load_markdown_tree(spark: SparkSession, directory: str) -> DataFrame:
         .option("pathGlobFilter", MARKDOWN_GLOB)
         .load(directory)
     )
-    root = F.lit(directory.rstrip("/") + "/")
+    root = directory.rstrip("/") + "/"
+    below = F.instr(F.col("path"), root) + len(root)
     return files.select(
         F.col("path").alias("url"),
         decode_utf8_lenient(F.col("content")).alias("content"),
         F.lit("markdown").alias("type"),
         F.lit(0).alias("depth"),
-        F.substring_index(F.col("path"), root, -1).alias("path"),
+        F.substring("path", below, F.length("path")).alias("path"),
     )
 
 
