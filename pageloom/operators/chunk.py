@@ -5,21 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.functions.text import WS_CLASS, count_tokens, strip
+from pageloom.functions.text import WS_CLASS, bind, count_tokens, strip
 
 # A paragraph ends after a code block or after blank lines.
 PARAGRAPH_END = r"(\n---\nCODE BLOCK:[\s\S]*?\n---\n|\n\n+)"
 LINE_END = r"(?<=[\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029])|(?<=\r)(?!\n)"
 _CUT = "\x01"
 
+# Units that one inner pass over a text takes.
+_STRIDE = 512
+
 # Kinds of unit: a paragraph, the first piece of a forced paragraph, a later piece.
 _WHOLE, _FIRST_PIECE, _NEXT_PIECE = 0, 1, 2
 # What the open chunk holds: nothing, paragraphs, pieces.
 _NONE, _WHOLES, _PIECES = 0, 1, 2
 
 
-def _units(text: Column, max_tokens: int, force_tokens: int) -> Column:
-    """array<struct<text, kind, glue, n_tokens>>: the smallest parts that stay whole."""
+def _units(text: Column, force_tokens: int) -> Column:
+    """array<struct<text, kind, by_line, n_tokens>>: the smallest parts that stay whole."""
     plain = F.replace(text, F.lit(_CUT), F.lit(""))
     marked = F.regexp_replace(plain, PARAGRAPH_END, "$1" + _CUT)
     paragraphs = F.filter(F.transform(F.split(marked, _CUT), strip), lambda p: p != "")
@@ -66,13 +69,16 @@ def _units(text: Column, max_tokens: int, force_tokens: int) -> Column:
 def _chunk_starts(units: Column, max_tokens: int, separator_tokens: int) -> Column:
     """Index of the first unit of each chunk: one pass that fills chunks in order.
 
-    Only the starts are collected, so a long text costs one step per unit.
+    Spark copies the state of an aggregate at every step, the starts found so
+    far included. So an inner pass over _STRIDE units collects the starts of
+    these alone, and the growing list is touched once per stride.
     """
+    no_starts = F.array().cast("array<int>")
     start = F.struct(
         F.lit(0).cast("bigint").alias("filled"),
         F.lit(_NONE).alias("holds"),
         F.lit(0).alias("at"),
-        F.array().cast("array<int>").alias("starts"),
+        no_starts.alias("starts"),
     )
 
     def step(state: Column, unit: Column) -> Column:
@@ -93,7 +99,21 @@ def _chunk_starts(units: Column, max_tokens: int, separator_tokens: int) -> Colu
             F.when(fits, state["starts"]).otherwise(F.array_append(state["starts"], state["at"])).alias("starts"),
         )
 
-    return F.aggregate(units, start, step, lambda state: state["starts"])
+    def fresh(state: Column) -> Column:
+        return F.struct(*[state[n].alias(n) for n in ("filled", "holds", "at")], no_starts.alias("starts"))
+
+    def stride(state: Column, part: Column) -> Column:
+        def append(done: Column) -> Column:
+            return F.struct(
+                *[done[n].alias(n) for n in ("filled", "holds", "at")],
+                F.concat(state["starts"], done["starts"]).alias("starts"),
+            )
+
+        return bind(F.aggregate(part, fresh(state), step), append)
+
+    last = ((F.size(units) - 1) / _STRIDE).cast("int")
+    strides = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(units, i * _STRIDE + 1, F.lit(_STRIDE)))
+    return F.aggregate(strides, start, stride, lambda state: state["starts"])
 
 
 def chunk_documents(
@@ -112,7 +132,7 @@ def chunk_documents(
     """
     force_tokens = int(max_tokens * 1.2)
     keep = [c for c in clean.columns if c not in ("text", "n_tokens", "chunk_no", "n_chars_lost")]
-    split = clean.select(*keep, _units(F.col("text"), max_tokens, force_tokens).alias("_units"))
+    split = clean.select(*keep, _units(F.col("text"), force_tokens).alias("_units"))
     started = split.withColumn("_starts", _chunk_starts(F.col("_units"), max_tokens, separator_tokens))
 
     def members(first: Column, number: Column) -> Column:

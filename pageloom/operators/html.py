@@ -34,6 +34,9 @@ VOID_TAGS = frozenset((
     "frame", "hr", "image", "img", "input", "isindex", "keygen", "link",
     "menuitem", "meta", "nextid", "param", "source", "spacer", "track", "wbr",
 ))
+# Elements that may be the main region, with the rank of their rule;
+# a div has rank 2 to 5 by its attributes.
+REGION_TAGS = {"main": 0, "article": 1, "div": 2, "body": 6}
 MUTE_TAGS = frozenset(("template", "rt", "rp"))
 
 PARSED_TYPE = "struct<blocks:array<struct<pos:int,tag:string,text:string,last_cell:boolean>>,fallback:string>"
@@ -77,6 +80,9 @@ class _BlockParser(HTMLParser):
         self.last_cell = -1  # block number of the latest cell
         self.rows: list[int] = []  # row number -> block number of its last cell
 
+    def updatepos(self, i, j):
+        return j  # line numbers are not needed
+
     def _flush(self) -> None:
         if self.pending:
             top = self.stack[-1]
@@ -114,9 +120,10 @@ class _BlockParser(HTMLParser):
             new.row = len(self.rows)
             self.rows.append(-1)
         new.n_blocks = len(self.blocks)
-        new.ranks = tuple(r for r in _region_rules(tag, named) if r not in self.regions)
-        for rank in new.ranks:
-            self.regions[rank] = [new.n_blocks, new.n_blocks]
+        if tag in REGION_TAGS:
+            new.ranks = tuple(r for r in _region_rules(tag, named) if r not in self.regions)
+            for rank in new.ranks:
+                self.regions[rank] = [new.n_blocks, new.n_blocks]
 
     def _close(self) -> str:
         done = self.stack.pop()
@@ -187,10 +194,8 @@ class _BlockParser(HTMLParser):
 
 def _region_rules(tag: str, named: dict) -> list[int]:
     """Which of the ordered rules for a page's main region an element meets."""
-    if tag in ("main", "article", "body"):
-        return [("main", "article", "", "", "", "", "body").index(tag)]
     if tag != "div":
-        return []
+        return [REGION_TAGS[tag]]
     classes = (named.get("class") or "").split()
     met = (
         (2, named.get("role") == "main"),

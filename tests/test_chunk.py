@@ -88,6 +88,16 @@ def test_edges(spark):
         check(spark, texts, limit, "", 1)
 
 
+def test_long_texts_span_strides(spark):
+    sentence = "Some words in a sentence here. "
+    texts = [
+        "".join(sentence[: 5 + i % 27] + ". " for i in range(1700)), "".join(f"{sentence}{i}\n\n" for i in range(1600)),
+        "\n\n".join(sentence * (1 + 9 * (i % 5 == 0)) for i in range(700)), "x" * 3 + "\n\n" + "y. " * 2000,
+    ]
+    check(spark, texts, 20)
+    check(spark, texts, 150, "", 1)
+
+
 def test_lost_characters_are_counted(spark):
     (rows,) = chunked(spark, ["z" * 500], 10)
     assert [(r.text, r.n_chars_lost) for r in rows] == [("z" * 40, 460)]
