@@ -13,8 +13,16 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine in double precision, within [-1, 1]; 0 where it has no meaning."""
+def norm(a: Column) -> Column:
+    """Euclidean length in double precision."""
+    return F.sqrt(_dot(a, a))
+
+
+def cosine(a: Column, b: Column, b_norm: Column | None = None) -> Column:
+    """Cosine in double precision, within [-1, 1]; 0 where it has no meaning.
+
+    b_norm is the length of b where that is known, as for a topic of many rows.
+    """
 
     def clipped(value: Column) -> Column:
         return (
@@ -25,5 +33,5 @@ def cosine(a: Column, b: Column) -> Column:
         )
 
     usable = a.isNotNull() & b.isNotNull() & (F.size(a) == F.size(b)) & (F.size(a) > 0)
-    norms = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
+    norms = norm(a) * (norm(b) if b_norm is None else b_norm)
     return F.when(usable, bind(F.try_divide(_dot(a, b), norms), clipped)).otherwise(F.lit(0.0))

@@ -249,7 +249,7 @@ def parse_blocks(page: str | None, nested: str = "all") -> dict | None:
 def page_blocks(html: Column, nested: str = "all") -> Column:
     """struct(blocks, fallback) of an HTML column; only that column goes to Python.
 
-    nested="all" lists a block inside a block in both, as the reference does;
+    nested="all" lists a block inside a block in both;
     "outermost" lists it once.
     """
     if nested not in ("all", "outermost"):

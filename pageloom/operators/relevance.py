@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions.text import WS_CLASS, one_line, truncate_tokens
-from pageloom.functions.vectors import cosine
+from pageloom.functions.vectors import cosine, norm
 from pageloom.operators.joins import lookup_join
 
 
@@ -18,8 +18,10 @@ def score_topics(vectors: DataFrame, topics: DataFrame, key: str = "topic_id", s
     The join is on the topic each row belongs to. Spark broadcasts the topics
     when they are small; a topic with a large share of the rows is spread.
     """
-    joined = lookup_join(vectors, topics.select(key, "topic_vector"), [key], [spread_by])
-    return joined.withColumn("score", cosine(F.col("vector"), F.col("topic_vector"))).drop("topic_vector")
+    measured = topics.select(key, "topic_vector", norm(F.col("topic_vector")).alias("_norm"))
+    joined = lookup_join(vectors, measured, [key], [spread_by])
+    score = cosine(F.col("vector"), F.col("topic_vector"), F.col("_norm"))
+    return joined.withColumn("score", score).drop("topic_vector", "_norm")
 
 
 def relevance_columns(
