@@ -34,13 +34,15 @@ def lookup_join(
     A hot key's rows are divided among `salts` tasks by a hash of `spread_by`,
     and its table rows are repeated once for each; every other key is joined
     once. Only left and inner joins are offered, where this leaves the result
-    unchanged. Keys are counted in `counted` if rows are dear to compute twice.
+    unchanged. Keys are counted, and the size is taken, in `counted` where rows
+    are dear to compute twice or their size is not known.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"lookup_join cannot do a {how} join")
-    if estimated_bytes(rows) < small_bytes:
+    counted = rows if counted is None else counted
+    if estimated_bytes(counted) < small_bytes:
         return rows.join(table, on, how)
-    counts = (rows if counted is None else counted).groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    counts = counted.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
     hot = counts.orderBy(F.col("_n").desc()).limit(MAX_HOT_KEYS).select(*on, F.lit(True).alias("_hot"))
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     salted = (

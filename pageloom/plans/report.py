@@ -28,6 +28,8 @@ from pageloom.plans.crawl import crawl_summary
 from pageloom.plans.ingest import ingest
 from pageloom.plans.merge import merge_levels
 from pageloom.settings import Settings
+from pageloom.sources.readers import read_documents
+from pageloom.sources.writers import write_compiled, write_documents, write_ratings, write_raw
 
 Responder = Callable[[DataFrame], DataFrame]
 
@@ -130,3 +132,27 @@ def build_corpus_report(
         documents=documents,
         ratings=ratings,
     )
+
+
+def write_report(
+    report: CorpusReport,
+    directory: str,
+    generated_at: str,
+    settings: Settings = Settings(),
+    save_raw: bool = False,
+    skip_compilation: bool = False,
+) -> None:
+    """Write a report's files below a directory that all executors reach.
+
+    output/ has one text per document, output_quality/ the ratings, output_raw/
+    the kept pages if asked for, and documentation/ all texts of output/ in one.
+    """
+    spark = report.documents.sparkSession
+    output = f"{directory.rstrip('/')}/output"
+    write_documents(report.documents.select("topic", "domain", "source_url", "body"), output, generated_at, settings)
+    write_ratings(report.ratings, f"{directory.rstrip('/')}/output_quality")
+    if save_raw:
+        write_raw(report.corpus, f"{directory.rstrip('/')}/output_raw")
+    if not skip_compilation and not report.documents.isEmpty():
+        compiled = f"{directory.rstrip('/')}/documentation"
+        write_compiled(read_documents(spark, output), compiled, generated_at, output)

@@ -78,9 +78,18 @@ def with_document_files(docs: DataFrame, generated_at: str, settings: Settings =
     )
 
 
+def with_own_names(docs: DataFrame) -> DataFrame:
+    """docs(file_name, source_url, …); a name that several documents share gets a mark of the source."""
+    shared = docs.groupBy("file_name").agg((F.count(F.lit(1)) > 1).alias("_shared")).filter("_shared")
+    mark = F.concat(F.lit("_"), F.substring(F.sha1(F.encode("source_url", "UTF-8")), 1, 8))
+    own = F.concat(F.regexp_extract("file_name", r"^(.*?)(?:\.[a-z]+)?$", 1), mark, F.regexp_extract("file_name", r"(\.[a-z]+)?$", 1))
+    joined = docs.join(shared, "file_name", "left")
+    return joined.withColumn("file_name", F.when(F.col("_shared"), own).otherwise(F.col("file_name"))).drop("_shared")
+
+
 def write_documents(docs: DataFrame, directory: str, generated_at: str, settings: Settings = Settings()) -> None:
-    """One text file per document."""
-    write_files(with_document_files(docs, generated_at, settings), directory, "file_name", "text")
+    """One text file per document, each under a name of its own."""
+    write_files(with_own_names(with_document_files(docs, generated_at, settings)), directory, "file_name", "text")
 
 
 def write_ratings(ratings: DataFrame, directory: str, file_per_document: bool = False) -> None:

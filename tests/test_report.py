@@ -1,9 +1,11 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from pageloom.operators.requests import echo_responses
-from pageloom.plans.report import build_corpus_report
+from pageloom.plans.report import build_corpus_report, write_report
 from pageloom.settings import Settings
 
 
@@ -70,6 +72,17 @@ def test_ratings(report):
     assert {(r.rating_score, r.rating_suggestions) for r in rated} == {(7, "*\nNone.")}
 
 
+def test_report_is_written(spark, report, tmp_path):
+    write_report(report, str(tmp_path), "NOW", save_raw=True)
+    names = sorted(os.listdir(tmp_path / "output"))
+    assert names == ["topic_one_github.com.txt", "topic_one_h.com.txt", "topic_two_h.com.txt"]
+    compiled = "".join(p.read_text("utf-8") for p in sorted((tmp_path / "documentation").glob("part-*")))
+    at = [compiled.index(f"Source File: {n}") for n in names]
+    assert at == sorted(at) and compiled.endswith("=\n")
+    assert spark.read.json(str(tmp_path / "output_quality")).count() == 3
+    assert spark.read.parquet(str(tmp_path / "output_raw")).count() == report.corpus.count()
+
+
 def test_entry_gives_documents(spark):
     df = contract.entry(spark)
     assert df.columns == ["seed_id", "topic", "domain", "source_url", "level", "n_chars", "body"]

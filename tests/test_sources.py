@@ -76,6 +76,15 @@ def test_documents_are_written_read_and_compiled(spark, tmp_path):
     assert whole == expected + f"{rule}\n✅ End of Compilation\n{rule}\n"
 
 
+def test_documents_of_one_name_are_kept_apart(spark, tmp_path):
+    rows = [("T", "a.com", f"http://a.com/{i}", f"body {i}") for i in range(3)] + [("U", "a.com", "http://a.com/", "body")]
+    docs = spark.createDataFrame(rows, "topic string, domain string, source_url string, body string")
+    writers.write_documents(docs, str(tmp_path / "out"), "NOW")
+    names = sorted(os.listdir(tmp_path / "out"))
+    assert len(names) == 4 and "u_a.com.txt" in names and all(n.endswith(".txt") for n in names)
+    assert sum(n.startswith("t_a.com_") for n in names) == 3
+
+
 def test_nothing_to_compile(spark, tmp_path):
     none = spark.createDataFrame([], "file_name string, text string")
     assert writers.compile_documents(none, "NOW", "/src").count() == 0
