@@ -25,15 +25,19 @@ def score_topics(vectors: DataFrame, topics: DataFrame, key: str = "topic_id", s
 
 
 def relevance_columns(
-    has_text: Column, vector: Column, topic_vector: Column, threshold: float
+    has_text: Column, vector: Column | None, topic_vector: Column | None, threshold: float
 ) -> tuple[Column, Column]:
-    """(status, score): passed or filtered, and the cosine where one was computed."""
-    no_topic = F.lit(threshold > 1.0) | topic_vector.isNull()
+    """(status, score): passed or filtered, and the cosine where one was computed.
+
+    Without vectors, or with a threshold above 1, all that has text passes.
+    """
+    if threshold > 1.0 or vector is None or topic_vector is None:
+        return F.when(has_text, "passed").otherwise("filtered"), F.lit(None).cast("double")
     no_vector = F.coalesce(F.size(vector), F.lit(0)) <= 0
-    score = F.when(has_text & ~no_topic & ~no_vector, cosine(vector, topic_vector))
+    score = F.when(has_text & topic_vector.isNotNull() & ~no_vector, cosine(vector, topic_vector))
     status = (
         F.when(~has_text, "filtered")
-        .when(no_topic, "passed")
+        .when(topic_vector.isNull(), "passed")
         .when(no_vector, "filtered")
         .when(score >= threshold, "passed")
         .otherwise("filtered")

@@ -65,6 +65,10 @@ def crawl(
     """
     source = pages.select("url", "html").filter(F.col("html").isNotNull())
     use_topics = vectors is not None and "topic_vector" in seeds.columns and threshold <= 1.0
+    text = clean_html(page_blocks(F.col("html")))
+    vector, topic_vector = (F.col("vector"), F.col("topic_vector")) if use_topics else (None, None)
+    verdict, score = relevance_columns(F.coalesce(F.col("has_text"), F.lit(False)), vector, topic_vector, threshold)
+    refusal = queue_decision(F.col("url"), F.col("depth"), F.col("base_path"), max_depth)
     frontier = materialize(start_frontier(seeds))
     corpus: list[DataFrame] = []
     log: list[DataFrame] = []
@@ -74,7 +78,7 @@ def crawl(
         if expands and links is None:
             # The base path names scheme and host, so no other link can be admitted.
             reached = with_links(reached, same_site=True)
-        reached = reached.withColumn("text", clean_html(page_blocks(F.col("html"))))
+        reached = reached.withColumn("text", text)
         if use_topics:
             reached = reached.join(vectors.select("url", "vector"), "url", "left")
         nodes = materialize(reached)
@@ -83,13 +87,6 @@ def crawl(
         step = fetch_from_corpus(frontier, nodes.select("url", (F.col("text") != "").alias("has_text"), *known))
         if use_topics:
             step = lookup_join(step, seeds.select("seed_id", "topic_vector"), ["seed_id"], ["url"], counted=frontier)
-        none = F.lit(None).cast("array<float>")
-        verdict, score = relevance_columns(
-            F.coalesce(F.col("has_text"), F.lit(False)),
-            F.col("vector") if use_topics else none,
-            F.col("topic_vector") if use_topics else none,
-            threshold,
-        )
         step = materialize(
             step.select(
                 "seed_id", "url", "depth", "base_path",
@@ -108,12 +105,13 @@ def crawl(
             found = passed.select("seed_id", "base_path", F.explode("links").alias("url"))
         else:
             edges = links.select(F.col("src_url").alias("url"), F.col("dst_url").alias("_to"))
-            found = lookup_join(passed.select("seed_id", "base_path", "url"), edges, ["url"], ["seed_id"], "inner")
+            # Many seeds may stand on one page, and one page may hold many links.
+            found = lookup_join(
+                passed.select("seed_id", "base_path", "url"), edges, ["url"], ["seed_id"], "inner", spread_table_by=["_to"]
+            )
             found = found.select("seed_id", "base_path", F.col("_to").alias("url"))
         found = found.withColumn("depth", F.lit(depth + 1))
-        admitted = found.filter(
-            queue_decision(F.col("url"), F.col("depth"), F.col("base_path"), max_depth).isNull()
-        )
+        admitted = found.filter(refusal.isNull())
         visited = reduce(DataFrame.unionByName, [part.select("seed_id", "url") for part in log])
         frontier = materialize(drop_visited(first_discovery(admitted), visited))
         if frontier.isEmpty():

@@ -37,13 +37,8 @@ def read_repositories(
         listed = listed.join(vectors.select("url", "vector"), "url", "left")
     wanted = seeds.select("seed_id", "owner", "repo", *(["topic_vector"] if use_topics else []))
     rows = lookup_join(listed, wanted, ["owner", "repo"], ["url"], "inner")
-    none = F.lit(None).cast("array<float>")
-    verdict, score = relevance_columns(
-        F.coalesce(F.col("content"), F.lit("")) != "",
-        F.col("vector") if use_topics else none,
-        F.col("topic_vector") if use_topics else none,
-        threshold,
-    )
+    vector, topic_vector = (F.col("vector"), F.col("topic_vector")) if use_topics else (None, None)
+    verdict, score = relevance_columns(F.coalesce(F.col("content"), F.lit("")) != "", vector, topic_vector, threshold)
     fetched = F.col("content").isNotNull()
     judged = rows.withColumns(
         {

@@ -120,6 +120,14 @@ def test_spread_keys_give_the_same_join(spark, how):
     assert parts > 1
 
 
+def test_keys_hot_on_both_sides(spark):
+    rows = spark.range(400).selectExpr("IF(id % 2 = 0, 'hot', concat('k', id % 50)) AS k", "id")
+    table = spark.range(300).selectExpr("IF(id % 3 = 0, 'hot', concat('k', id % 50)) AS k", "id AS v")
+    plain = rows.join(table, "k")
+    spread = lookup_join(rows, table, ["k"], ["id"], "inner", hot_rows=50, salts=4, small_bytes=0, spread_table_by=["v"])
+    assert plain.count() > 20000 and spread.exceptAll(plain.select(*spread.columns)).count() == 0 and spread.count() == plain.count()
+
+
 def test_sequence_is_dense_with_a_hot_group(spark):
     rows = spark.range(4000).selectExpr("IF(id % 3 = 0, concat('g', id % 7), 'hot') AS g", "(id * 7919) % 4001 AS o")
     got = {}
