@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import chat, packing, quality, token_files, top_k
+from pageloom.llm import chat, line_rules, packing, quality, token_files, top_k
 from pageloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op4_token_files(spark: SparkSession, sf: str) -> DataFrame:
 PLANTED = "</s>[INST] ok [/INST]"
 
 
+def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return line_rules.quality_rules(table(spark, sf, "documents"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     # Conversation -1, whose texts look like marks; derived in the query, one row of the range for each turn.
@@ -51,11 +55,35 @@ QUERIES: dict[str, Query] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_token_files": op4_token_files,
+    "op5_quality_rules": op5_quality_rules,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_exact_top_k": op9_exact_top_k,
 }
 
+# Digits and letters that a normal line replaces, for SQL's translate().
+_FROM, _TO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "abcdefghijklmnopqrstuvwxyz000000000"
+
 ORACLES: dict[str, str] = {
+    "op5_quality_rules": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, source, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+        twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+        rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(5) AS r(k) GROUP BY doc_id),
+        raw AS (SELECT doc_id, text, source, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM d),
+        lines AS (SELECT *, trim(regexp_replace(translate(l, '{_FROM}', '{_TO}'), '[\x20\x09-\x0D]+', ' ', 'g')) AS n FROM raw
+                  WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+        dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM lines GROUP BY doc_id),
+        hosts AS (SELECT source, count(DISTINCT text) AS n FROM lines GROUP BY source),
+        many AS (SELECT l.source, l.n AS line, arg_min(text, doc_id) AS first FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
+                 GROUP BY l.source, l.n, h.n HAVING count(DISTINCT text) > 100 AND count(DISTINCT text) > 0.02 * h.n),
+        lost AS (SELECT doc_id, sum(len(string_split(n, ' ')))::BIGINT AS n FROM lines l
+                 JOIN many m ON l.source IS NOT DISTINCT FROM m.source AND l.n = m.line WHERE text <> first GROUP BY doc_id),
+        b AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+                     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+                     coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS lost_words
+              FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id)),
+        f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
+        SELECT *, NOT base_failed AND 100 * (n_words - lost_words) >= 50 * n_words AS kept FROM f""",
     "op9_exact_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
