@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import chat, line_rules, packing, quality, token_files, top_k
+from pageloom.llm import chat, line_rules, packing, ppm, quality, token_files, top_k
 from pageloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return line_rules.quality_rules(table(spark, sf, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    return ppm.lm_scores(table(spark, sf, "documents"), held_out=2, divisor=7)
+
+
 def op8_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     # Conversation -1, whose texts look like marks; derived in the query, one row of the range for each turn.
@@ -56,6 +60,7 @@ QUERIES: dict[str, Query] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_token_files": op4_token_files,
     "op5_quality_rules": op5_quality_rules,
+    "op6_lm_scoring": op6_lm_scoring,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_exact_top_k": op9_exact_top_k,
 }
