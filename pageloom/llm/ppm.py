@@ -246,7 +246,7 @@ def build(levels: list[tuple[np.ndarray, np.ndarray]]) -> PPM:
     return PPM(symbols, contexts, tables)
 
 
-def train(grams: DataFrame, max_contexts: int = 1 << 15) -> PPM:
+def train(grams: DataFrame, max_contexts: int = 1 << 17) -> PPM:
     """The model of a table of key (gram) and n.
 
     Of each order the contexts are kept that make at least one part in
@@ -278,7 +278,7 @@ _SCORED = (
 
 def lm_scores(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = 2, divisor: int = 7, hot_words: int = 1 << 19,
-    max_contexts: int = 1 << 15,
+    max_contexts: int = 1 << 17,
 ) -> DataFrame:
     """Score every document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import chat, line_rules, packing, ppm, quality, token_files, top_k
+from pageloom.llm import chat, jaccard, line_rules, packing, ppm, quality, token_files, top_k
 from pageloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op6_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
     return ppm.lm_scores(table(spark, sf, "documents"), held_out=2, divisor=7)
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf, "documents"), size=4, percent=85)
+
+
 def op8_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     # Conversation -1, whose texts look like marks; derived in the query, one row of the range for each turn.
@@ -61,6 +65,7 @@ QUERIES: dict[str, Query] = {
     "op4_token_files": op4_token_files,
     "op5_quality_rules": op5_quality_rules,
     "op6_lm_scoring": op6_lm_scoring,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_exact_top_k": op9_exact_top_k,
 }
@@ -89,6 +94,15 @@ ORACLES: dict[str, str] = {
               FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id)),
         f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
         SELECT *, NOT base_failed AND 100 * (n_words - lost_words) >= 50 * n_words AS kept FROM f""",
+    "op7_ngram_jaccard": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                     ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM d),
+        e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+        p AS (SELECT x.doc_id AS a, y.doc_id AS b FROM e x JOIN e y ON x.g = y.g AND x.doc_id <> y.doc_id AND 100 * x.n >= 85 * y.n AND 100 * y.n >= 85 * x.n
+              GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+        r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT r.doc_id, p.b FROM r JOIN p ON r.c = p.a)
+        SELECT s.doc_id, len(g)::BIGINT AS n_shingles, m.component_id FROM s JOIN (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id) m USING (doc_id)""",
     "op9_exact_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
