@@ -8,12 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import chat, jaccard, line_rules, packing, ppm, quality, token_files, top_k
+from pageloom.llm import chat, jaccard, line_dedup, line_rules, packing, ppm, quality, token_files, top_k
 from pageloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_md5"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"), held_out=1)
 
@@ -60,6 +65,7 @@ def op9_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_token_files": op4_token_files,
@@ -74,6 +80,22 @@ QUERIES: dict[str, Query] = {
 _FROM, _TO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "abcdefghijklmnopqrstuvwxyz000000000"
 
 ORACLES: dict[str, str] = {
+    "op1_line_dedup": r"""
+        WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
+        n AS (SELECT *, trim(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM raw),
+        u AS (SELECT line, min(struct_pack(d := doc_id, k := no)) AS first, length(line) AS n, left(line, length(line) // 2) AS p, right(line, length(line) // 2) AS s
+              FROM n WHERE line <> '' GROUP BY line),
+        -- Within one edit: the same length and one character other, or one character more; either half of the shorter is the same.
+        h AS (SELECT line, first, n, unnest([n, n - 1]) AS m FROM u WHERE n >= 20),
+        k AS (SELECT *, unnest([left(line, (m // 2)::BIGINT), right(line, (m // 2)::BIGINT)]) AS half, unnest(['l', 'r']) AS side FROM h),
+        near AS (SELECT DISTINCT a.line FROM k a JOIN k b ON a.m = b.m AND a.side = b.side AND a.half = b.half AND b.first < a.first
+                 WHERE (a.n = b.n AND len(list_filter(range(1, a.n + 1), lambda i: a.line[i] <> b.line[i])) = 1)
+                    OR (abs(a.n - b.n) = 1 AND len(list_filter(range(0, greatest(a.n, b.n)), lambda i:
+                        CASE WHEN a.n > b.n THEN left(a.line, i) || substr(a.line, i + 2) = b.line ELSE left(b.line, i) || substr(b.line, i + 2) = a.line END)) > 0)),
+        g AS (SELECT n.doc_id, n.no, n.l, n.line, n.line <> '' AND (struct_pack(d := n.doc_id, k := n.no) <> u.first OR near.line IS NOT NULL) AS gone
+              FROM n LEFT JOIN u ON n.line = u.line LEFT JOIN near ON n.line = near.line)
+        SELECT doc_id, count(*) FILTER (line <> '') AS n_lines, count(*) FILTER (gone) AS n_removed,
+               md5(coalesce(string_agg(l, chr(10) ORDER BY no) FILTER (NOT coalesce(gone, false)), '')) AS text_md5 FROM g GROUP BY doc_id""",
     "op5_quality_rules": rf"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text, source, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
