@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import chat, jaccard, line_dedup, line_rules, packing, ppm, quality, token_files, top_k
+from pageloom.llm import chat, jaccard, line_dedup, line_rules, packing, piece_transducer, ppm, quality, token_files, top_k
 from pageloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,10 @@ def op9_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return top_k.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op10_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    return piece_transducer.round_trips(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_exact_top_k": op9_exact_top_k,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 # Digits and letters that a normal line replaces, for SQL's translate().
