@@ -119,7 +119,7 @@ def measure(docs: DataFrame, size: int) -> DataFrame:
             small = [s for s in sets if len(s) <= 20_000]
             if small:
                 cells += np.bincount((np.concatenate(small) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(cells))
-            sketch = [np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype("<u4").tobytes() for s in sets]
+            sketch = [np.minimum(np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 255).astype("u1").tobytes() for s in sets]
             rows = len(sets)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -202,14 +202,17 @@ def shared_keys(index: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "sig bigint, hub bigint, hub_n bigint, node bigint, n bigint")
 
 
-def _near(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sketches leave it open that two sets are similar enough; a set's differences are at least those of its sketch."""
-    apart = np.abs(a - b).sum(-1)
-    return (100 + percent) * apart <= (100 - percent) * (a.sum(-1) + b.sum(-1))
+def _near(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sketches leave it open that sets of n and m tokens are similar enough.
+
+    A sketch counts a set's tokens by class, up to 255; two sets differ in at
+    least as many tokens as their sketches do.
+    """
+    return (100 + percent) * np.abs(a - b).sum(-1, dtype=np.int64) <= (100 - percent) * (n + m)
 
 
 def _sketches(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, SKETCH).astype(np.int64)
+    return np.frombuffer(b"".join(column.to_pylist()), "u1").reshape(-1, SKETCH).astype(np.int16)
 
 
 def possible_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -218,12 +221,12 @@ def possible_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keep = _near(_sketches(batch.column(2)), _sketches(batch.column(3)), percent)
-                yield batch.select([0, 1]).filter(pa.array(keep))
+                n, m = batch.column(4).to_numpy(), batch.column(5).to_numpy()
+                yield batch.select([0, 1]).filter(pa.array(_near(_sketches(batch.column(2)), _sketches(batch.column(3)), n, m, percent)))
 
-    left = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
-    right = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    left = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
+    right = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -256,40 +259,109 @@ def token_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "node bigint, tokens binary").dropDuplicates(["node"])
 
 
+def _pairs_within(first: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of places of rows of one group, in parts; first tells where a group begins."""
+    n = len(first)
+    starts = np.append(np.flatnonzero(first), n)
+    later = starts[np.searchsorted(starts, np.arange(n), side="right")] - np.arange(n) - 1  # rows behind in the group
+    before = np.concatenate([[0], np.cumsum(later)])
+    row = 0
+    while row < n:
+        end = max(row + 1, int(np.searchsorted(before, before[row] + most, side="right")) - 1)
+        left = np.repeat(np.arange(row, end), later[row:end])
+        yield left, left + 1 + np.arange(len(left)) - (before[left] - before[row])
+        row = end
+
+
 def _open_pairs(shared: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of sets that share a key, lie in different components so far, and were not compared as hub and member.
+    """a, b: possible pairs of sets that share a key, lie in different components so far, and were not compared as hub and member.
 
     Keys whose sets are all in one component have none. A key's sets are dealt
     out in blocks, and a task compares the sketches of two blocks, so no task
     holds more than two blocks of a key and only possible pairs are given out.
     """
-    label = labels.select("node", "label")
-    members = shared.select("sig", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    members = shared.select("sig", "node").join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = members.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).filter("m > 1 AND lo <> hi").select("sig", "m")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / _BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
-    rows = members.join(mixed, "sig").join(sketches, "node").withColumn("k", blocks).withColumn("own", own)
+    k = F.ceil(F.col("m") / _BLOCK).cast("int")
+    rows = members.join(mixed, "sig").withColumn("k", k).withColumn("own", F.pmod(F.xxhash64("node"), "k").cast("int")).join(sketches, "node")
     cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
-        "sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "sketch"
+        "sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "sketch"
     )
 
-    def run(table: pa.Table) -> pa.Table:
-        own, node, lab = (table.column(c).to_numpy() for c in ("own", "node", "label"))
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        sketch = _sketches(table.column("sketch").combine_chunks())
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        out: list[list[np.ndarray]] = [[], []]
-        for x in left:
-            y = right[(node[right] != node[x]) & (lab[right] != lab[x])]
-            if i == j:
-                y = y[node[y] > node[x]]
-            y = y[_near(sketch[x], sketch[y], percent)]
-            out[0].append(np.minimum(node[x], node[y]))
-            out[1].append(np.maximum(node[x], node[y]))
-        a, b = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
-        return pa.table({"a": a, "b": b})
-
-    return cells.groupBy("sig", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
+    def compared(rows: pa.RecordBatch, first: np.ndarray) -> pa.RecordBatch:
+        own, node, label, n = (rows.column(c).to_numpy() for c in ("own", "node", "label", "n"))
+        one_block = rows.column("i").to_numpy() == rows.column("j").to_numpy()
+        sketch = _sketches(rows.column("sketch"))
+        a, b = [], []
+        for x, y in _pairs_within(first):
+            keep = (label[x] != label[y]) & (node[x] != node[y]) & (one_block[x] | (own[x] != own[y]))
+            keep &= 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+            x, y = x[keep], y[keep]
+            keep = _near(sketch[x], sketch[y], n[x], n[y], percent)
+            a.append(np.minimum(node[x], node[y])[keep])
+            b.append(np.maximum(node[x], node[y])[keep])
+        found = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None  # the last cell so far, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if held is None else pa.concat_batches([held, batch])
+            cell = np.stack([rows.column(c).to_numpy() for c in ("sig", "i", "j")])
+            first = np.ones(rows.num_rows, bool)
+            first[1:] = (cell[:, 1:] != cell[:, :-1]).any(0)
+            last = int(np.flatnonzero(first)[-1])
+            held = rows.slice(last)
+            if last:
+                yield compared(rows.slice(0, last), first[:last])
+        if held is not None:
+            yield compared(held, np.arange(held.num_rows) == 0)
+
+    dealt = cells.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """key, doc_id, node and n of each document; node, label (of its component) and component_id of each set."""
+    if not 50 < percent <= 100 or size < 1:
+        raise ValueError("percent must be 51 to 100 and size at least 1")
+    chosen = docs.select(
+        row_key(id_col, text_col).alias("key"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")
+    )
+    measured = materialize(measure(chosen, size))
+    documents = measured.filter("kind = 0").select("key", "doc_id", "node", "n", "sketch")
+    frequent = frequent_cells(measured.filter("kind = 1"))
+    shared = materialize(shared_keys(index_rows(chosen.select("text"), size, percent, frequent)))
+
+    nodes = shared.select("node").union(shared.select("hub")).distinct()
+    sketches = documents.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("n").alias("n"), F.min("key").alias("key"), F.min("sketch").alias("sketch"))
+    sketches = materialize(sketches)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        # Only the texts of possible pairs are read again for their whole sets.
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        keys = materialize(sketches.select("node", "key").join(wanted, "node", "left_semi").select("key"))
+        sets = materialize(token_sets(chosen.join(keys, "key", "left_semi").select("text"), size))
+        return materialize(verified(pairs, sets, percent))
+
+    near = shared.filter(_compatible("hub_n", "n", percent))
+    pairs = near.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    small = sketches.select("node", "n", "sketch")
+    links = linked(materialize(possible_pairs(pairs, small, percent)))
+    labels = component_labels(links)
+    open_ = materialize(_open_pairs(shared, labels, small, percent))
+    if open_.limit(1).count():
+        more = linked(open_)
+        if more.limit(1).count():
+            labels = component_labels(links.union(more))
+
+    first = documents.groupBy("node").agg(F.min("doc_id").alias("first_doc"))
+    least = first.join(labels, "node").groupBy("label").agg(F.min("first_doc").alias("component_id"))
+    found = first.join(labels.join(least, "label"), "node", "left")
+    found = found.select("node", F.coalesce("label", "node").alias("label"), F.coalesce("component_id", "first_doc").alias("component_id"))
+    return documents.select("key", "doc_id", "node", "n"), found
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
@@ -308,36 +380,20 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     components are compared. So every link either is found or joins what is
     joined already, without listing the pairs of a group of copies.
     """
-    if not 50 < percent <= 100 or size < 1:
-        raise ValueError("percent must be 51 to 100 and size at least 1")
-    chosen = docs.select(
-        row_key(id_col, text_col).alias("key"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")
-    )
-    measured = materialize(measure(chosen, size))
-    documents = measured.filter("kind = 0").select("key", "doc_id", "node", "n", "sketch")
-    frequent = frequent_cells(measured.filter("kind = 1"))
-    shared = materialize(shared_keys(index_rows(chosen.select("text"), size, percent, frequent)))
+    documents, found = _components(docs, id_col, text_col, size, percent)
+    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return documents.join(found, "node").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
-    sets_of = documents.groupBy("node").agg(F.min("key").alias("key"), F.min("doc_id").alias("first_doc"))
-    near = shared.filter(_compatible("hub_n", "n", percent))
-    nodes = shared.select("node").union(shared.select("hub")).distinct()
-    sketches = materialize(documents.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("sketch").alias("sketch"), F.min("key").alias("key")))
-    # Only texts that share a key with another are read again for their whole sets.
-    wanted = sketches.select("key")
-    sets = materialize(token_sets(chosen.join(wanted, "key", "left_semi").select("text"), size))
 
-    pairs = near.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-    links = materialize(verified(possible_pairs(pairs, sketches.select("node", "sketch"), percent), sets, percent))
-    labels = component_labels(links)
-    open_ = _open_pairs(shared, labels, sketches.select("node", "sketch"), percent)
-    more = materialize(verified(open_, sets, percent))
-    if more.limit(1).count():
-        labels = component_labels(links.union(more))
-
-    linked = sets_of.join(labels, "node")
-    least = linked.groupBy("label").agg(F.min("first_doc").alias("component_id"))
-    component = labels.join(least, "label").select("node", "component_id")
-    found = sets_of.select("node", "first_doc").join(component, "node", "left").select("node", F.coalesce("component_id", "first_doc").alias("component_id"))
-    return documents.select("doc_id", "node", "n").join(found, "node").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The document with the least id of each component, with all its columns.
+
+    Documents without words all stay; of rows equal in id and text one stays; a
+    null id stays only where its component has no other.
+    """
+    documents, found = _components(docs, id_col, text_col, size, percent)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    first = documents.filter("n > 0").join(found, "node").groupBy("label").agg(F.min(order).alias("at"))
+    keys = first.select(F.col("at.key").alias("_key")).union(documents.filter("n = 0").select("key")).distinct()
+    kept = docs.withColumn("_key", row_key(id_col, text_col)).join(keys, "_key", "left_semi")
+    return kept.dropDuplicates(["_key"]).select(*[f"`{c}`" for c in docs.columns])

@@ -167,4 +167,4 @@ def clean_documents(
     kept = judged.filter(100 * (b["n_words"] - F.coalesce("_lost_words", F.lit(0))) >= min_left * b["n_words"])
     parts = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col("_line_nos"), i))
     text = F.when(F.col("_line_nos").isNull(), F.col(text_col)).otherwise(F.array_join(parts, "\n"))
-    return kept.withColumn(text_col, text).select(*docs.columns)
+    return kept.withColumn(text_col, text).select(*[f"`{c}`" for c in docs.columns])

@@ -241,11 +241,14 @@ class PieceTransducer:
         if len(cache) > _CACHE_SEGMENTS:
             cache.clear()
         cut = [self._cut(self._prefix + t.replace(" ", SPACE)) if t else () for t in texts]
-        # In order, so that texts that begin alike follow each other.
-        for segment in sorted({s for segments in cut for s in segments if s not in cache}):
+        found = [list(map(cache.get, segments)) for segments in cut]
+        missed = [k for k, ids in enumerate(found) if None in ids]
+        # In order, so that segments that begin alike follow each other.
+        for segment in sorted({s for k in missed for s, ids in zip(cut[k], found[k]) if ids is None}):
             cache[segment] = self._segment(segment)
-        get = cache.__getitem__
-        return [b"".join(map(get, segments)) for segments in cut]
+        for k in missed:
+            found[k] = map(cache.__getitem__, cut[k])
+        return [b"".join(ids) for ids in found]
 
     # --- Decoding ---
 

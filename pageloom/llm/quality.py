@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import id_remainder, text_slices
+from pageloom.llm.common import id_remainder, row_key, text_slices
 from pageloom.operators.storage import materialize
 
 STATISTICS = (
@@ -59,16 +59,16 @@ def statistics(text: str) -> list[float]:
 
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the array `stats` of each document; a null text counts as empty."""
+    """key, doc_id and the array `stats` of each document; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, 1):
-            rows = np.array([statistics(t or "") for t in batch.column(1).to_pylist()], np.float32)
+        for batch in text_slices(batches, 2):
+            rows = np.array([statistics(t or "") for t in batch.column(2).to_pylist()], np.float32)
             offsets = pa.array(np.arange(0, rows.size + 1, rows.shape[1]), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(rows.ravel()))], names=["doc_id", "stats"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.ListArray.from_arrays(offsets, pa.array(rows.ravel()))], names=["key", "doc_id", "stats"])
 
-    chosen = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id bigint, stats array<float>")
+    chosen = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return chosen.mapInArrow(run, "key bigint, doc_id bigint, stats array<float>")
 
 
 # Features are whole multiples of 1 / _UNIT, so that sums over partitions are exact in any order.
@@ -185,16 +185,23 @@ def fit(labelled: DataFrame, n_features: int = 192, gamma: float = 0.1, ridge: f
 
 
 def score(stats: DataFrame, model: QualityModel) -> DataFrame:
-    """doc_id, score and predicted of every row of doc_id and stats."""
+    """key, doc_id, score and predicted of every row of document_statistics."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = np.array(batch.column(1).to_pylist(), np.float64).reshape(-1, len(STATISTICS))
+                x = np.array(batch.column(2).to_pylist(), np.float64).reshape(-1, len(STATISTICS))
                 s = model.score(x)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["key", "doc_id", "score", "predicted"])
 
-    return stats.select("doc_id", "stats").mapInArrow(run, "doc_id bigint, score double, predicted int")
+    return stats.select("key", "doc_id", "stats").mapInArrow(run, "key bigint, doc_id bigint, score double, predicted int")
+
+
+def _scored(docs, labels, id_col, text_col, label_id_col, label_col, held_out) -> DataFrame:
+    stats = materialize(document_statistics(docs, id_col, text_col))
+    given = labels.select(F.col(label_id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
+    given = given.filter(F.col("label").isin(0, 1) & (id_remainder("doc_id", 3) != held_out)).distinct()
+    return score(stats, fit(stats.join(given, "doc_id")))
 
 
 def classify(
@@ -209,9 +216,15 @@ def classify(
     from each kind once, repeated equal labels once; null ids are scored but
     never learnt from. No labels give the score 0.5; no documents give no rows.
     """
-    stats = materialize(document_statistics(docs, id_col, text_col))
-    given = labels.select(F.col(label_id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
-    given = given.filter(F.col("label").isin(0, 1) & (id_remainder("doc_id", 3) != held_out)).distinct()
-    model = fit(stats.join(given, "doc_id"))
-    scored = score(stats, model)
+    scored = _scored(docs, labels, id_col, text_col, label_id_col, label_col, held_out)
     return scored.select("doc_id", (id_remainder("doc_id", 3) == held_out).alias("held_out"), "score", "predicted")
+
+
+def keep_documents(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id",
+    label_col: str = "quality", held_out: int = 1,
+) -> DataFrame:
+    """The documents that classify() predicts label 1, with all their columns."""
+    scored = _scored(docs, labels, id_col, text_col, label_id_col, label_col, held_out)
+    rejected = scored.filter("predicted = 0").select(F.col("key").alias("_key")).distinct()
+    return docs.withColumn("_key", row_key(id_col, text_col)).join(rejected, "_key", "left_anti").select(*[f"`{c}`" for c in docs.columns])
