@@ -87,7 +87,7 @@ _FROM, _TO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "abcdefghijklmnopqrstuvwxyz0
 ORACLES: dict[str, str] = {
     "op1_line_dedup": r"""
         WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
-        n AS (SELECT *, trim(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM raw),
+        n AS (SELECT *, trim(lower(l), ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM raw),
         u AS (SELECT line, min(struct_pack(d := doc_id, k := no)) AS first, length(line) AS n, left(line, length(line) // 2) AS p, right(line, length(line) // 2) AS s
               FROM n WHERE line <> '' GROUP BY line),
         -- Within one edit: the same length and one character other, or one character more; either half of the shorter is the same.
