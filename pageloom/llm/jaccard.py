@@ -25,7 +25,7 @@ from pageloom.operators.storage import materialize
 
 _SLICE = 4 << 20
 CELL_BITS = 18
-SKETCH = 64
+SKETCH, WIDE_SKETCH = 64, 1024
 _BLOCK = 256
 
 
@@ -119,7 +119,7 @@ def measure(docs: DataFrame, size: int) -> DataFrame:
             small = [s for s in sets if len(s) <= 20_000]
             if small:
                 cells += np.bincount((np.concatenate(small) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(cells))
-            sketch = [np.minimum(np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 255).astype("u1").tobytes() for s in sets]
+            sketch = [sketch_of(s, SKETCH) for s in sets]
             rows = len(sets)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -211,8 +211,13 @@ def _near(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, percent: i
     return (100 + percent) * np.abs(a - b).sum(-1, dtype=np.int64) <= (100 - percent) * (n + m)
 
 
+def sketch_of(tokens: np.ndarray, width: int) -> bytes:
+    """How many tokens of a set lie in each of `width` classes, up to 255."""
+    return np.minimum(np.bincount((tokens & np.uint64(width - 1)).astype(np.int64), minlength=width), 255).astype("u1").tobytes()
+
+
 def _sketches(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "u1").reshape(-1, SKETCH).astype(np.int16)
+    return np.frombuffer(b"".join(column.to_pylist()), "u1").reshape(len(column), -1).astype(np.int16)
 
 
 def possible_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -249,14 +254,18 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def token_sets(docs: DataFrame, size: int) -> DataFrame:
-    """node and tokens (sorted 64-bit hashes) of each distinct set."""
+    """node, n, tokens (sorted 64-bit hashes) and a wide sketch of each distinct set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, 0, _SLICE):
             sets = shingle_sets(batch.column(0).to_pylist(), size)
-            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["node", "tokens"])
+            columns = [
+                pa.array([digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()), pa.array([sketch_of(s, WIDE_SKETCH) for s in sets], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "tokens", "sketch"])
 
-    return docs.mapInArrow(run, "node bigint, tokens binary").dropDuplicates(["node"])
+    return docs.mapInArrow(run, "node bigint, n bigint, tokens binary, sketch binary").dropDuplicates(["node"])
 
 
 def _pairs_within(first: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -344,7 +353,9 @@ def _components(docs: DataFrame, id_col: str, text_col: str, size: int, percent:
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         keys = materialize(sketches.select("node", "key").join(wanted, "node", "left_semi").select("key"))
         sets = materialize(token_sets(chosen.join(keys, "key", "left_semi").select("text"), size))
-        return materialize(verified(pairs, sets, percent))
+        # Whole sets travel only for pairs that a wider sketch leaves open too.
+        left = materialize(possible_pairs(pairs, sets.select("node", "n", "sketch"), percent))
+        return materialize(verified(left, sets, percent))
 
     near = shared.filter(_compatible("hub_n", "n", percent))
     pairs = near.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
