@@ -21,6 +21,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _once(value: Column) -> Column:
+    """A column that later steps read and do not work out again: the outer explode of one element."""
+    return F.explode_outer(F.array(value))
+
+
 def word_list(text: Column) -> Column:
     trimmed = F.btrim(text, F.lit(_SPACES))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, GAP))
@@ -144,7 +149,8 @@ def quality_rules(
     are judged alike. No documents give no rows.
     """
     lost = removed_lines(docs, id_col, text_col, host_col, min_docs, min_share).select("key", "lost_words")
-    base = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), base_columns(F.col(text_col)).alias("b")).select("doc_id", "key", "b.*")
+    base = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), _once(base_columns(F.col(text_col))).alias("b"))
+    base = base.select("doc_id", "key", "b.*")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     judged = base.withColumn("base_failed", failed).join(lost, "key", "left").withColumn("lost_words", F.coalesce("lost_words", F.lit(0)))
     left = 100 * (F.col("n_words") - F.col("lost_words")) >= min_left * F.col("n_words")
@@ -160,7 +166,7 @@ def clean_documents(
         F.col("key").alias("_lost_key"), F.col("line_nos").alias("_line_nos"), F.col("lost_words").alias("_lost_words")
     )
     b = F.col("_base")
-    judged = docs.withColumn("_base", base_columns(F.col(text_col))).filter(
+    judged = docs.withColumn("_base", _once(base_columns(F.col(text_col)))).filter(
         (b["n_words"] >= min_words) & (100 * b["n_repeat_words"] <= max_repeat * b["n_words"])
     )
     judged = judged.withColumn("_lost_key", row_key(id_col, text_col)).join(lost, "_lost_key", "left")
