@@ -21,8 +21,12 @@ _WHOLE, _FIRST_PIECE, _NEXT_PIECE = 0, 1, 2
 _NONE, _WHOLES, _PIECES = 0, 1, 2
 
 
-def _units(text: Column, force_tokens: int) -> Column:
-    """array<struct<text, kind, by_line, n_tokens>>: the smallest parts that stay whole."""
+def _units(text: Column, force_tokens: int, piece_tokens: int | None) -> Column:
+    """array<struct<text, kind, by_line, n_tokens>>: the smallest parts that stay whole.
+
+    With piece_tokens, a sentence or line of more tokens is cut in parts of so
+    many, which are units of their own.
+    """
     plain = F.replace(text, F.lit(_CUT), F.lit(""))
     marked = F.regexp_replace(plain, PARAGRAPH_END, "$1" + _CUT)
     paragraphs = F.filter(F.transform(F.split(marked, _CUT), strip), lambda p: p != "")
@@ -50,6 +54,22 @@ def _units(text: Column, force_tokens: int) -> Column:
             F.when(F.size(p["sentences"]) <= 1, F.split(p["text"], LINE_END)).otherwise(p["sentences"]).alias("parts"),
         ),
     )
+
+    def bounded(parts: Column) -> Column:
+        """Parts above piece_tokens in slices of that size; tokens are quarters of the characters."""
+        width = 4 * (piece_tokens or 1)
+        slices = lambda s: F.transform(
+            F.sequence(F.lit(0), F.floor((F.length(s) - 1) / width).cast("int")), lambda k: F.substring(s, k * width + 1, F.lit(width))
+        )
+        long = lambda s: count_tokens(s) > piece_tokens
+        cut = F.flatten(F.transform(parts, lambda s: F.when(long(s), slices(s)).otherwise(F.array(s))))
+        return F.when(F.exists(parts, long), cut).otherwise(parts)
+
+    if piece_tokens:
+        pieces = F.transform(
+            pieces,
+            lambda p: F.struct(p["text"].alias("text"), p["by_line"].alias("by_line"), F.when(p["parts"].isNotNull(), bounded(p["parts"])).alias("parts")),
+        )
     return F.flatten(
         F.transform(
             pieces,
@@ -121,18 +141,20 @@ def chunk_documents(
     max_tokens: int = 7000,
     sentence_sep: str = " ",
     separator_tokens: int = 0,
+    strict: bool = False,
 ) -> DataFrame:
     """chunks(…, chunk_no, text, n_tokens, n_chars_lost) of clean(…, text).
 
     Paragraphs are packed in order while they fit. One above max_tokens stands
     alone; above 1.2 times that it is split after sentences, or after lines if
-    it has one sentence, and packed again. A piece above max_tokens is cut to
-    its first max_tokens tokens and n_chars_lost says what that cost. A text
-    without content gives no chunk. All other columns are carried along.
+    it has one sentence, and packed again. A piece above max_tokens is divided
+    into pieces of max_tokens, so that no text is lost. With strict it is cut to
+    its first max_tokens tokens instead; n_chars_lost says what that cost. A
+    text without content gives no chunk. All other columns are carried along.
     """
     force_tokens = int(max_tokens * 1.2)
     keep = [c for c in clean.columns if c not in ("text", "n_tokens", "chunk_no", "n_chars_lost")]
-    split = clean.select(*keep, _units(F.col("text"), force_tokens).alias("_units"))
+    split = clean.select(*keep, _units(F.col("text"), force_tokens, None if strict else max_tokens).alias("_units"))
     started = split.withColumn("_starts", _chunk_starts(F.col("_units"), max_tokens, separator_tokens))
 
     def members(first: Column, number: Column) -> Column:

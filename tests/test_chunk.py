@@ -37,7 +37,12 @@ def packed(parts, limit, gap, glue):
     return [glue.join(g) for g in groups]
 
 
-def expected(text, limit, glue, gap):
+def slices(part, limit):
+    """A part above the limit in parts of the limit."""
+    return [part[k : k + 4 * limit] for k in range(0, len(part), 4 * limit)] if size(part) > limit else [part]
+
+
+def expected(text, limit, glue, gap, strict=False):
     out, run = [], []
     for paragraph in filter(None, paragraphs(text)):
         if size(paragraph) <= int(limit * 1.2):
@@ -48,6 +53,8 @@ def expected(text, limit, glue, gap):
         parts, between = re.split(r"(?<=[.!?])\s+", paragraph), glue
         if len(parts) < 2:
             parts, between = paragraph.splitlines(keepends=True), ""
+        if not strict:
+            parts = [s for part in parts for s in slices(part, limit)]
         for group in packed(parts, limit, 0, between):
             # Only a single part can exceed the limit here.
             whole = size(group) > limit and group in parts
@@ -63,10 +70,12 @@ def chunked(spark, texts, limit, **options):
     return [[got[i][n] for n in range(len(got.get(i, {})))] for i in range(len(texts))]
 
 
-def check(spark, texts, limit, glue=" ", gap=0):
-    got = chunked(spark, texts, limit, sentence_sep=glue, separator_tokens=gap)
+def check(spark, texts, limit, glue=" ", gap=0, strict=False):
+    got = chunked(spark, texts, limit, sentence_sep=glue, separator_tokens=gap, strict=strict)
     for text, rows in zip(texts, got):
-        assert [r.text for r in rows] == expected(text, limit, glue, gap), text
+        assert [r.text for r in rows] == expected(text, limit, glue, gap, strict), text
+        squashed = re.sub(r"\s", "", "".join(r.text for r in rows))
+        assert strict or (squashed == re.sub(r"\s", "", text) and not any(r.n_chars_lost for r in rows)), text
         assert [r.n_tokens for r in rows] == [size(r.text) for r in rows]
 
 
@@ -86,6 +95,7 @@ def test_edges(spark):
     for limit in (10, 20):
         check(spark, texts, limit)
         check(spark, texts, limit, "", 1)
+        check(spark, texts, limit, strict=True)
 
 
 def test_long_texts_span_strides(spark):
@@ -98,9 +108,11 @@ def test_long_texts_span_strides(spark):
     check(spark, texts, 150, "", 1)
 
 
-def test_lost_characters_are_counted(spark):
-    (rows,) = chunked(spark, ["z" * 500], 10)
+def test_strict_counts_lost_characters(spark):
+    (rows,) = chunked(spark, ["z" * 500], 10, strict=True)
     assert [(r.text, r.n_chars_lost) for r in rows] == [("z" * 40, 460)]
+    (rows,) = chunked(spark, ["z" * 500], 10)
+    assert [(r.text, r.n_chars_lost) for r in rows] == [("z" * 40, 0)] * 12 + [("z" * 20, 0)]
 
 
 def test_other_columns_are_kept(spark):
@@ -133,8 +145,7 @@ def test_properties_on_documents(spark, sf):
         by_doc.setdefault(r.doc_id, []).append(r)
     for doc in docs.collect():
         parts = by_doc.get(doc.doc_id, [])
-        if not any(p.n_chars_lost for p in parts):
-            assert squash("".join(p.text for p in parts)) == squash(doc.text)
+        assert squash("".join(p.text for p in parts)) == squash(doc.text)
 
 
 def test_no_shuffle_and_no_python(spark):
