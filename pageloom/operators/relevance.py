@@ -56,15 +56,16 @@ def relevance_filter(df: DataFrame, threshold: float = 0.3) -> DataFrame:
     return df.withColumn("status", status).withColumn("score", score)
 
 
-def text_vectors(docs: DataFrame, dims: int = 256, max_tokens: int = 8190, idf: bool = False) -> DataFrame:
+def text_vectors(docs: DataFrame, dims: int = 256, max_tokens: int | None = None, idf: bool = False) -> DataFrame:
     """docs(text, …) with a unit `vector` of hashed word counts.
 
     A lexical stand-in for vectors from an outside service; its scores are not
-    the service's. Newlines become spaces and the text is cut to max_tokens
-    first, as it would be for the service. idf=True weighs words by rarity,
-    which takes one more pass over the texts.
+    the service's. Newlines become spaces. The whole text counts; with max_tokens
+    (8190 for the service) it is cut to these first. idf=True weighs words by
+    rarity, which takes one more pass over the texts.
     """
-    text = F.lower(truncate_tokens(one_line(F.col("text")), max_tokens))
+    text = one_line(F.col("text"))
+    text = F.lower(truncate_tokens(text, max_tokens) if max_tokens else text)
     words = F.filter(F.split(text, rf"[{WS_CLASS}]+"), lambda w: w != "")
     counted = HashingTF(numFeatures=dims, inputCol="_words", outputCol="_tf").transform(
         docs.withColumn("_words", F.coalesce(words, F.array().cast("array<string>")))
