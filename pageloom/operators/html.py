@@ -316,20 +316,43 @@ def page_heading(html: Column) -> Column:
     return F.when(F.length(text) > 3, text)
 
 
+# Names of the Latin letters with marks in links of European pages, and of the blank that does not break.
+_LATIN_ENTITIES = (
+    ("&auml;", "ä"), ("&ouml;", "ö"), ("&uuml;", "ü"), ("&Auml;", "Ä"), ("&Ouml;", "Ö"), ("&Uuml;", "Ü"), ("&szlig;", "ß"),
+    ("&agrave;", "à"), ("&acirc;", "â"), ("&eacute;", "é"), ("&egrave;", "è"), ("&ecirc;", "ê"), ("&ccedil;", "ç"),
+    ("&aacute;", "á"), ("&iacute;", "í"), ("&oacute;", "ó"), ("&uacute;", "ú"), ("&ntilde;", "ñ"), ("&nbsp;", "\u00a0"), ("&apos;", "'"),
+)
+
+
+def _numeric_start(part: Column) -> Column:
+    """A text whose leading numeric character reference, if any, is replaced by its character."""
+    digits = F.regexp_extract(part, r"^&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
+    point = F.when(F.lower(F.left(digits, F.lit(1))) == "x", F.conv(F.substring(digits, 2, 6), 16, 10)).otherwise(digits).cast("int")
+    # A code point as UTF-32 bytes.
+    char = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+    valid = (point > 0) & (point < 0x110000) & ~point.between(0xD800, 0xDFFF)
+    rest = F.regexp_replace(part, r"^&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", "")
+    return F.when((digits != "") & valid, F.concat(char, rest)).otherwise(part)
+
+
 def page_hrefs(html: Column) -> Column:
     """The link targets of a page as written, in order, outside comments and scripts."""
     visible = F.regexp_replace(
         html, r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", ""
     )
-    quoted = F.regexp_extract_all(
-        visible, F.lit(r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""), F.lit(1)
-    )
+    # Whole anchor tags, quoted values as units; then the href by its name, past other attributes and their values.
+    tags = F.regexp_extract_all(visible, F.lit(r"""(?i)<a(?=[\s/])((?:[^>"']|"[^"]*"|'[^']*')*)>"""), F.lit(1))
+    href = r"""(?is)^(?:[\s/]*(?!href[\s=])[^\s=>/"']+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)*?[\s/]*href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    quoted = F.filter(F.transform(tags, lambda t: F.regexp_extract(t, href, 1)), lambda v: v != "")
 
     def bare(value: Column) -> Column:
         out = F.regexp_replace(value, r"""^["']|["']$""", "")
-        for name, char in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        for name, char in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), *_LATIN_ENTITIES):
             out = F.replace(out, F.lit(name), F.lit(char))
-        return strip(out)
+        # The text is cut before each numeric reference, which then gives way to its character.
+        parts = F.split(out, r"(?=&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});)")
+        decoded = F.array_join(F.transform(parts, _numeric_start), "")
+        return strip(F.replace(decoded, F.lit("&amp;"), F.lit("&")))
 
     def leads_somewhere(href: Column) -> Column:
         low = F.lower(href)

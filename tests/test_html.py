@@ -120,3 +120,16 @@ def test_links(spark):
     ]
     near = html.with_links(pages, same_site=True).filter("html is not null").first().links
     assert "https://z.org/" not in near and len(near) == 4
+
+
+def test_unusual_anchors(column):
+    from pageloom.operators.html import page_hrefs
+
+    page = (
+        '<a title="a>b" href="/one">1</a><a class="c"href="/three">3</a><a href="/t&#119;o">2</a><a href="/k&ouml;ln">k</a>'
+        '<a title="see href=/bad" href="/four">4</a><A\nHREF = /five>5</a><abbr href="/no">x</abbr><a data-href="/no" href=\'/six?a=1&amp;b=2\'>6</a>'
+        '<a name="x">7</a><a disabled href="/&#xe9;/&#128512;">8</a><a href="&#99999999;/nine">9</a><a href="#top">t</a>'
+    )
+    assert column(page_hrefs(F.col("a")), page) == [[
+        "/one", "/three", "/two", "/köln", "/four", "/five", "/six?a=1&b=2", "/é/😀", "&#99999999;/nine",
+    ]]
