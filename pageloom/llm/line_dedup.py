@@ -126,7 +126,8 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -
     # The candidates' texts, each from the earliest row that holds it.
     where = places.join(candidates, ["id", "at"]).select("key", "line_no", "id", "at", "m0", "m1", "m2", "m3").dropDuplicates(["id"])
     where = materialize(where)
-    held = keyed.join(where.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    # A merge join at every size, here and for the result: a plan that holds when neither side can be sent to all tasks.
+    held = keyed.join(where.select("key").distinct().hint("merge"), "key", "left_semi").dropDuplicates(["key"])
     texts = held.select("key", F.posexplode(F.split("text", "\n")).alias("line_no", "raw")).join(where, ["key", "line_no"])
     texts = materialize(texts.select("id", "at", normal(F.col("raw")).alias("line"), "m0", "m1", "m2", "m3"))
 
@@ -162,7 +163,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     lost = removed_lines(docs, id_col, text_col, min_chars).select(F.col("key").alias("_line_key"), F.col("line_nos").alias("_line_nos"))
     base = docs.drop("n_lines", "n_removed")
-    joined = base.withColumn("_line_key", row_key(id_col, text_col)).join(lost, "_line_key", "left")
+    joined = base.withColumn("_line_key", row_key(id_col, text_col)).join(lost.hint("merge"), "_line_key", "left")
     split = F.split(F.col(text_col), "\n")
     parts = F.filter(split, lambda x, i: ~F.array_contains(F.col("_line_nos"), i))
     text = F.when(F.col("_line_nos").isNotNull(), F.array_join(parts, "\n")).otherwise(F.col(text_col))
