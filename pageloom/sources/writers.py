@@ -78,15 +78,25 @@ def with_document_files(docs: DataFrame, generated_at: str, settings: Settings =
     )
 
 
-def with_own_names(docs: DataFrame) -> DataFrame:
-    """docs(file_name, source_url, …); a name that several documents share gets a mark of the source."""
+def _marked(docs: DataFrame, mark: Column) -> DataFrame:
+    """docs(file_name, …); a name that several rows share gets a mark before its ending."""
     shared = docs.groupBy("file_name").agg((F.count(F.lit(1)) > 1).alias("_shared")).filter("_shared")
-    mark = F.concat(F.lit("_"), F.substring(F.sha1(F.encode("source_url", "UTF-8")), 1, 8))
-    own = F.concat(F.regexp_extract("file_name", r"^(.*?)(?:\.[a-z]+)?$", 1), mark, F.regexp_extract("file_name", r"(\.[a-z]+)?$", 1))
+    own = F.concat(
+        F.regexp_extract("file_name", r"^(.*?)(?:\.[a-z]+)?$", 1), F.lit("_"), F.substring(F.sha1(F.encode(mark, "UTF-8")), 1, 8),
+        F.regexp_extract("file_name", r"(\.[a-z]+)?$", 1),
+    )
     joined = docs.join(shared, "file_name", "left")
     return joined.withColumn("file_name", F.when(F.col("_shared"), own).otherwise(F.col("file_name"))).drop("_shared")
 
 
+def with_own_names(docs: DataFrame) -> DataFrame:
+    """docs(file_name, source_url, …); a name that several documents share gets a mark of the source, and one of the whole row if they share that too.
+
+    Only rows that are equal in every column keep one name, and so one file.
+    """
+    return _marked(_marked(docs, F.col("source_url")), F.to_json(F.struct(*docs.columns)))
+
+
 def write_documents(docs: DataFrame, directory: str, generated_at: str, settings: Settings = Settings()) -> None:
     """One text file per document, each under a name of its own."""
     write_files(with_own_names(with_document_files(docs, generated_at, settings)), directory, "file_name", "text")
@@ -100,6 +110,7 @@ def write_ratings(ratings: DataFrame, directory: str, file_per_document: bool =
             document_file_name(F.col("topic"), F.col("domain"), "_quality_assessment.json").alias("file_name"),
             F.to_json(F.struct(*fields), {"ignoreNullFields": "false", "pretty": "true"}).alias("text"),
         )
+        named = _marked(named, F.col("text"))
         write_files(named, directory, "file_name", "text")
     else:
         ratings.write.mode("overwrite").option("ignoreNullFields", "false").json(directory)

@@ -113,3 +113,16 @@ def test_ratings(spark, tmp_path):
 def test_small_tables_use_all_cores(spark, sf):
     df = readers.read_table(spark, f"{sf}/documents.parquet")
     assert df.select(F.spark_partition_id()).distinct().count() == 8
+
+
+def test_no_file_is_overwritten(spark, tmp_path):
+    rows = [("T", "a.com", "https://a.com/", f"body {i}") for i in range(3)] + [("T", "a.com", "https://a.com/x", "body")]
+    docs = spark.createDataFrame(rows, "topic string, domain string, source_url string, body string")
+    writers.write_documents(docs, str(tmp_path / "docs"), "NOW")
+    assert len(list((tmp_path / "docs").glob("*.txt"))) == 4
+    rated = spark.createDataFrame(
+        [("T", "a.com", i, "j", "s", "r") for i in range(3)],
+        "topic string, domain string, rating_score int, rating_justification string, rating_suggestions string, raw_rating_output string",
+    )
+    writers.write_ratings(rated, str(tmp_path / "rated"), file_per_document=True)
+    assert len(list((tmp_path / "rated").glob("*.json"))) == 3
