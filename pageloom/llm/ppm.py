@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -9,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.llm.common import id_remainder, text_slices
@@ -71,21 +72,26 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class _Counter:
     """Adds up counts of integers; gives them out when it holds many."""
 
-    def __init__(self, kind: int, most: int = 3_000_000):
+    def __init__(self, kind: int, most: int = 2_000_000):
         self._kind, self._most, self._held, self._n = kind, most, [], 0
 
+    def _sum(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = (np.concatenate(x) for x in zip(*self._held))
+        self._held = []  # the parts are not held while their sums are made
+        return _summed(keys, counts)
+
     def add(self, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         self._held.append((keys, counts))
         self._n += len(keys)
         if self._n > self._most:
-            keys, counts = _summed(*(np.concatenate(x) for x in zip(*self._held)))
+            keys, counts = self._sum()
             self._held, self._n = [(keys, counts)], len(keys)
             if self._n > self._most // 2:
                 yield from self.rest()
 
     def rest(self) -> Iterator[pa.RecordBatch]:
         if self._held:
-            keys, counts = _summed(*(np.concatenate(x) for x in zip(*self._held)))
+            keys, counts = self._sum()
             for k in range(0, len(keys), 1 << 18):
                 part = slice(k, k + (1 << 18))
                 kind = pa.array(np.full(len(keys[part]), self._kind, np.int32))
@@ -124,18 +130,20 @@ def count_corpus(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 class _Lookup:
-    """Places of integers in a sorted list, by two hash tables; -1 for others."""
+    """Places of integers in a sorted list, by hash tables; -1 for others."""
 
-    def __init__(self, keys: np.ndarray, bits: int = 20):
+    def __init__(self, keys: np.ndarray):
         self.keys = np.append(keys.astype(np.uint64), np.uint64(_mask(8)))  # the last stands for "none"
-        self._bits, self._tables, rest = np.uint64(64 - bits), [], np.arange(len(keys))
+        self._tables, rest = [], np.arange(len(keys))
         none, draw = len(keys), np.random.default_rng(len(keys))
         while True:
             odd = np.uint64(int(draw.integers(1 << 62, 1 << 63)) | 1)
-            at = (self.keys[rest] * odd) >> self._bits
+            bits = max(10, (2 * len(rest)).bit_length())
+            shift = np.uint64(64 - bits)
+            at = (self.keys[rest] * odd) >> shift
             table = np.full(1 << bits, none, np.int32)
             table[at] = rest
-            self._tables.append((odd, table))
+            self._tables.append((odd, shift, table))
             rest = rest[table[at] != rest]
             if not len(rest):
                 break
@@ -143,9 +151,9 @@ class _Lookup:
     def find(self, wanted: np.ndarray) -> np.ndarray:
         out = np.full(len(wanted), -1, np.int32)
         open_ = None
-        for odd, table in self._tables:
+        for odd, shift, table in self._tables:
             some = wanted if open_ is None else wanted[open_]
-            at = table[(some * odd) >> self._bits]
+            at = table[(some * odd) >> shift]
             hit = self.keys[at] == some
             if open_ is None:
                 out[hit] = at[hit]
@@ -164,39 +172,9 @@ class PPM:
     contexts: list[np.ndarray]
     tables: list[np.ndarray]
 
-    def scorer(self) -> Scorer:
-        return Scorer(self)
-
-
-class Scorer:
-    def __init__(self, model: PPM):
-        self._symbols = model.symbols
-        self._find = [None, *(_Lookup(c) for c in model.contexts[1:])]
-        self._tables = model.tables
-
-    def symbol_scores(self, data: np.ndarray, start: int, end: int) -> np.ndarray:
-        """log10 P of each byte from start to end given the longest context before it that the trie holds."""
-        grams = _grams(data, start, end)
-        context, symbol = grams >> np.uint64(8), self._symbols[data[start:end]]
-        out = np.empty(end - start, np.float64)
-        open_ = None
-        for order in range(ORDER, -1, -1):
-            wanted = context if open_ is None else context[open_]
-            if order:
-                node = self._find[order].find(wanted & np.uint64(_mask(order)))
-            else:
-                node = np.zeros(len(wanted), np.int32)
-            hit = node >= 0
-            at = np.flatnonzero(hit) if open_ is None else open_[hit]
-            out[at] = self._tables[order][node[hit], symbol[at]]
-            open_ = np.flatnonzero(~hit) if open_ is None else open_[~hit]
-            if not len(open_):
-                break
-        return out
-
 
 def build(levels: list[tuple[np.ndarray, np.ndarray]]) -> PPM:
-    """The model of the grams (context and symbol) and counts of each order, from 0 up.
+    """The model of the grams (context and symbol) and counts of each order, from 0 up, in memory; train() has it as tables.
 
     In a context with T occurrences of D different symbols, a symbol seen c
     times has c / (T + D) and an escape D / (T + D). After an escape the next
@@ -246,39 +224,126 @@ def build(levels: list[tuple[np.ndarray, np.ndarray]]) -> PPM:
     return PPM(symbols, contexts, tables)
 
 
-def train(grams: DataFrame, max_contexts: int = 1 << 17) -> PPM:
-    """The model of a table of key (gram) and n.
+@dataclass
+class Model:
+    """The same model as Spark tables, every counted context in it.
 
-    Of each order the contexts are kept that make at least one part in
-    max_contexts of all occurrences, so there are at most max_contexts of them
-    at any size of the corpus. What reaches the driver and the executors is at
-    most 257 numbers for each. A kept context keeps all its symbols, and its
-    shorter contexts are kept too.
+    seen: key, n, logp of each gram of ORDER + 1 bytes. levels, from order 0:
+    grams (key, n) and contexts (context, total, kinds, and base and left of
+    the next shorter context without the symbols of this one). total, kinds:
+    of order 0.
     """
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    least = max(1, -(-total // max_contexts))
-    levels, level = [], grams.select("key", "n")
-    for order in range(ORDER, -1, -1):
-        level = level.groupBy(F.col("key").bitwiseAND(F.lit(_mask(order + 1))).alias("key")).agg(F.sum("n").alias("n"))
-        context = F.shiftright("key", 8)
-        kept = level.groupBy(context.alias("context")).agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("context")
-        found = level.withColumn("context", context).join(kept, "context").select("key", "n").toPandas()
-        found = found.sort_values("key")
-        levels.append((found["key"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.float64)))
-    return build(levels[::-1])
+
+    seen: DataFrame
+    levels: list[tuple[DataFrame, DataFrame]]
+    total: int
+    kinds: int
+
+
+def _low(column: Column, order: int) -> Column:
+    return column.bitwiseAND(F.lit(_mask(order)))
+
+
+def train(grams: DataFrame) -> Model:
+    """The model of a table of key (gram) and n. No join key has more than 256 rows: grams that differ in one byte."""
+    tables = [grams.select("key", "n")]
+    for order in range(ORDER - 1, -1, -1):
+        tables.append(materialize(tables[-1].groupBy(_low(F.col("key"), order + 1).alias("key")).agg(F.sum("n").alias("n"))))
+    tables = tables[::-1]
+    r = tables[0].agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    total, kinds = int(r[0]), int(r[1])
+    levels, above = [(tables[0], None)], None
+    for order in range(1, ORDER + 1):
+        # n_above: how often the symbol follows the next shorter context.
+        suffix = Window.partitionBy(_low(F.col("key"), order))
+        level = tables[order].withColumn("n_above", F.sum("n").over(suffix))
+        found = level.groupBy(F.shiftright("key", 8).alias("context")).agg(
+            F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum("n_above").alias("taken")
+        )
+        if above is None:
+            found = found.withColumn("up_total", F.lit(total)).withColumn("up_kinds", F.lit(kinds))
+        else:
+            up = above.select(F.col("context").alias("up"), F.col("total").alias("up_total"), F.col("kinds").alias("up_kinds"))
+            found = found.withColumn("up", _low(F.col("context"), order - 1)).join(up, "up")
+        left = F.col("up_kinds") - F.col("kinds")
+        above = materialize(found.select("context", "total", "kinds", (F.col("up_total") - F.col("taken") + left).alias("base"), left.alias("left")))
+        levels.append((tables[order], above))
+    full = tables[ORDER].withColumn("context", F.shiftright("key", 8)).join(above, "context")
+    seen = materialize(full.select("key", "n", F.log10(F.col("n") / (F.col("total") + F.col("kinds"))).alias("logp")))
+    return Model(seen, levels, total, kinds)
+
+
+def unseen_grams(wanted: DataFrame, model: Model) -> DataFrame:
+    """key, logp of the grams wanted(key, distinct), from the longest context that was counted.
+
+    From order 0 up, for the ends of the wanted grams: n, the gram's count;
+    escaped, log10 P after its context's escape, if the context was counted;
+    and logp, log10 P given the longest counted context up to this order.
+    """
+    lowest = -math.log10(max(256 - model.kinds, 1))
+    below = None
+    for order in range(ORDER + 1):
+        grams, contexts = model.levels[order]
+        rows = wanted if order == ORDER else wanted.select(_low(F.col("key"), order + 1).alias("key")).distinct()
+        rows = rows.join(grams, "key", "left")
+        if not order:
+            rows = rows.withColumn("total", F.lit(model.total or None).cast("bigint")).withColumn("kinds", F.lit(model.kinds))
+            rows = rows.withColumn("escaped", F.lit(lowest)).withColumn("logp_below", F.lit(lowest))
+        else:
+            rows = rows.withColumn("context", F.shiftright("key", 8)).join(contexts, "context", "left")
+            rows = rows.withColumn("end", _low(F.col("key"), order)).join(below, "end")
+            base = F.log10(F.greatest("base", F.lit(1)))
+            # Where all symbols of the shorter context are excluded, it escapes for sure.
+            escape = F.when(F.col("left") == 0, 0.0).otherwise(F.log10(F.greatest("left", F.lit(1))) - base)
+            rows = rows.withColumn(
+                "escaped", F.when(F.col("n_below").isNotNull(), F.log10(F.col("n_below")) - base).otherwise(escape + F.col("escaped_below"))
+            )
+        whole = F.log10(F.col("total") + F.col("kinds"))
+        logp = (
+            F.when(F.col("total").isNull(), F.col("logp_below"))
+            .when(F.col("n").isNotNull(), F.log10("n") - whole)
+            .otherwise(F.log10("kinds") - whole + F.col("escaped"))
+        )
+        rows = rows.select("key", "n", "escaped", logp.alias("logp"))
+        below = rows.select(F.col("key").alias("end"), F.col("n").alias("n_below"), F.col("escaped").alias("escaped_below"), F.col("logp").alias("logp_below"))
+    return rows.select("key", "logp")
+
+
+def hot_grams(seen: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and logp of the most frequent grams, at most `most`: all those above a count."""
+    step = F.floor(8 * F.log2("n"))
+    counts = sorted(map(tuple, seen.groupBy(step.alias("step")).count().collect()), reverse=True)
+    least, held = None, 0
+    for at, n in counts:
+        held += n
+        if held > most:
+            break
+        least = at
+    found = seen.filter(F.lit(False) if least is None else step >= least).select("key", "logp").toArrow()
+    keys, logp = found.column("key").to_numpy(), found.column("logp").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], logp[order]
 
 
 # --- Scoring ---
 
 _SCORED = (
     "uid bigint, doc_id bigint, n_tokens bigint, hot_known bigint, hot_score double, score double, "
-    "rare array<bigint>, rare_n array<int>"
+    "rare array<bigint>, rare_n array<int>, cold array<bigint>, cold_n array<int>"
 )
 
 
+def _by_text(text: np.ndarray, ids: np.ndarray, values: np.ndarray, n_texts: int) -> tuple[pa.ListArray, pa.ListArray]:
+    """For each text the different values at its ids, and how often each is there."""
+    size = max(len(values), 1)
+    pair, n = np.unique(text * size + ids, return_counts=True)
+    offsets = pa.array(np.searchsorted(pair, np.arange(n_texts + 1) * size), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(values[pair % size])), pa.ListArray.from_arrays(offsets, pa.array(n, pa.int32()))
+
+
 def lm_scores(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = 2, divisor: int = 7, hot_words: int = 1 << 19,
-    max_contexts: int = 1 << 17,
+    most_grams: int = 1 << 21,
 ) -> DataFrame:
     """Score every document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -291,7 +356,10 @@ def lm_scores(
 
     For base_score the words that make at least one part in hot_words of the
     training tokens, at most hot_words of them, go to all tasks; each text's
-    other words are looked up by a join, whose keys are rare by that rule.
+    other words are looked up by a join, whose keys are rare by that rule. For
+    score the most_grams most frequent byte grams of ORDER + 1 go to all tasks
+    likewise; each text's other grams, those never counted among them, are
+    looked up in the tables of all contexts.
     """
     spark = docs.sparkSession
     chosen = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -302,12 +370,13 @@ def lm_scores(
     n_train, n_kinds = int(r[0]), int(r[1])
     base = float(np.log10(n_train + n_kinds + 1))
     hot = words.filter(F.col("n") >= -(-n_train // hot_words)).select("key", "n").toPandas().sort_values("key")
-    shared = spark.sparkContext.broadcast((hot["key"].to_numpy(np.int64), hot["n"].to_numpy(np.float64), train(grams, max_contexts)))
+    model = train(grams)
+    shared = spark.sparkContext.broadcast((hot["key"].to_numpy(np.int64), hot["n"].to_numpy(np.float64), *hot_grams(model.seen, most_grams)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, model = shared.value
+        keys, counts, gram_keys, gram_logs = shared.value
         logs = np.log10(counts + 1) - base
-        scorer = model.scorer()
+        lookup, gram_logs = _Lookup(gram_keys), np.append(gram_logs, 0.0)
         uid = TaskContext.get().partitionId() << 40
         for batch in text_slices(batches, 1, _SLICE):
             texts = [_tokens(t) for t in batch.column(1).to_pylist()]
@@ -318,24 +387,30 @@ def lm_scores(
             n_tokens = np.array([len(t) for t in texts])
             first = np.cumsum(n_tokens) - n_tokens
             data, starts, ends = _streams(texts)
-            scores = np.zeros(len(data))
+            scores, inside = np.zeros(len(data)), np.ones(len(data), bool)
+            inside[(starts[:, None] - np.arange(1, ORDER + 1)).ravel()] = False
+            cold_at, cold_keys = [], []
             for k in range(ORDER, len(data), _WINDOW):
                 top = min(k + _WINDOW, len(data))
-                scores[k:top] = scorer.symbol_scores(data, k, top)
-            inside = np.stack([starts, ends], axis=1).ravel()
-            score = np.add.reduceat(np.append(scores, 0.0), inside)[::2]
+                wanted = _grams(data, k, top)
+                found = lookup.find(wanted)
+                scores[k:top] = gram_logs[found]
+                miss = np.flatnonzero((found < 0) & inside[k:top])
+                cold_at.append(k + miss)
+                cold_keys.append(wanted[miss].view(np.int64))
+            score = np.add.reduceat(np.append(scores, 0.0), np.stack([starts, ends], axis=1).ravel())[::2]
+            different, cold_ids = np.unique(np.concatenate(cold_keys), return_inverse=True)
+            cold = _by_text(np.searchsorted(starts, np.concatenate(cold_at), side="right") - 1, cold_ids, different, len(texts))
             # The rare words of each text with their numbers there.
             doc = np.repeat(np.arange(len(texts)), n_tokens)
             rare = ~known[ids]
-            pair, n = np.unique(doc[rare] * len(hashes) + ids[rare], return_counts=True)
-            offsets = pa.array(np.searchsorted(pair, np.arange(len(texts) + 1) * len(hashes)), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(uid + np.arange(len(texts))), batch.column(0), pa.array(n_tokens), pa.array(np.add.reduceat(known[ids].astype(np.int64), first)),
                     pa.array(np.add.reduceat(value[ids], first)), pa.array(score),
-                    pa.ListArray.from_arrays(offsets, pa.array(hashes[pair % len(hashes)])), pa.ListArray.from_arrays(offsets, pa.array(n, pa.int32())),
+                    *_by_text(doc[rare], ids[rare], hashes, len(texts)), *cold,
                 ],
-                names=["uid", "doc_id", "n_tokens", "hot_known", "hot_score", "score", "rare", "rare_n"],
+                names=["uid", "doc_id", "n_tokens", "hot_known", "hot_score", "score", "rare", "rare_n", "cold", "cold_n"],
             )
             uid += len(texts)
 
@@ -346,8 +421,14 @@ def lm_scores(
         F.sum(F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0)).alias("rare_known"),
         F.sum(F.col("m") * (F.log10(F.coalesce("n", F.lit(0)) + 1) - F.lit(base))).alias("rare_score"),
     )
-    whole = scored.drop("rare", "rare_n").join(summed, "uid", "left")
+    passed = scored.select("uid", F.explode(F.arrays_zip("cold", "cold_n")).alias("r")).select("uid", F.col("r.cold").alias("key"), F.col("r.cold_n").alias("m"))
+    first = materialize(passed.select("key").distinct().join(model.seen.select("key", "logp"), "key", "left"))
+    missing = unseen_grams(first.filter(F.col("logp").isNull()).select("key"), model)
+    values = first.filter(F.col("logp").isNotNull()).unionByName(missing)
+    cold_score = passed.join(values, "key").groupBy("uid").agg(F.sum(F.col("m") * F.col("logp")).alias("cold_score"))
+    whole = scored.drop("rare", "rare_n", "cold", "cold_n").join(summed, "uid", "left").join(cold_score, "uid", "left")
     return whole.select(
         "doc_id", out.alias("held_out"), "n_tokens", (F.col("hot_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(n_train).cast("bigint").alias("train_tokens"), (F.col("hot_score") + F.coalesce("rare_score", F.lit(0.0))).alias("base_score"), "score",
+        F.lit(n_train).cast("bigint").alias("train_tokens"), (F.col("hot_score") + F.coalesce("rare_score", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("cold_score", F.lit(0.0))).alias("score"),
     )

@@ -198,6 +198,36 @@ def test_ppm_probabilities():
                 assert abs(p[model.symbols[s]] - slow(context, s)) < 1e-5
 
 
+def test_lm_scores_keep_every_context(spark):
+    """Every text's score is that of plain PPM over all counted contexts, whether its grams are shared or joined."""
+    draw = random.Random(11)
+    vocabulary = ["".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 7))) for _ in range(400)]
+    texts = {i: " ".join(draw.choice(vocabulary) for _ in range(draw.randint(0, 300))) for i in range(120)}
+    texts |= {200 + i: f"rare zqx{i} éß" for i in range(20)}
+    streams = {i: b"\n" * 5 + t.encode() + b"\n" for i, t in texts.items()}
+    counts = collections.Counter()
+    for i, s in streams.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            counts.update((s[k - order : k], s[k]) for k in range(5, len(s)) for order in range(6))
+    after = collections.defaultdict(dict)
+    for (context, symbol), n in counts.items():
+        after[context][symbol] = n
+
+    def logp(context, symbol, excluded=frozenset()):
+        seen = {s: n for s, n in after.get(context, {}).items() if s not in excluded}
+        total = sum(seen.values()) + len(seen)
+        if symbol in seen:
+            return math.log10(seen[symbol] / total)
+        escape = math.log10(len(seen) / total) if seen else 0.0
+        return escape + (logp(context[1:], symbol, excluded | set(seen)) if context else -math.log10(256 - len(after[b""])))
+
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    plain = {i: sum(logp(s[k - 5 : k], s[k]) for k in range(5, len(s))) for i, s in streams.items()}
+    for most in (500, 1 << 21):
+        found = {r["doc_id"]: r["score"] for r in ppm.lm_scores(docs, most_grams=most).collect()}
+        assert all(abs(found[i] - p) < 1e-8 * abs(p) for i, p in plain.items()) and len(found) == len(plain)
+
+
 def test_jaccard_against_all_pairs(spark, odd, none):
     draw = random.Random(5)
     texts = []
