@@ -47,90 +47,133 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(give: dict[int, list[int]], take: dict[int, list[int]], room: int, least: int) -> tuple[list[int], list[int]] | None:
-    """Sizes to give to a bin and to take from it so that it gains most, at most `room`.
+class _Open:
+    """Open bins by what they can give back: a sum of no, one or two of their sizes, then by their room.
 
-    Tried are a move, one for one, two for one and one for two. None if no
-    exchange gains at least `least`.
+    The rooms of the bins that hold a sum are the bits of one integer, so the
+    bins an exchange fits into are found without a look at the others.
     """
-    best, gain = None, least - 1
-    sizes = sorted(give)
-    pairs = {a + b: [a, b] for k, a in enumerate(sizes) for b in sizes[k:] if a != b or len(give[a]) > 1}
-    back = {0: []} | {s: [s] for s in take}
-    for s, taken in back.items():
-        for total in ([s + room] if s + room in pairs or s + room in give else (*sizes, *pairs)):
-            d = total - s
-            if gain < d <= room:
-                best, gain = ([total] if total in give else pairs[total], taken), d
-                if d == room:
-                    return best
-    two = sorted(take)
-    for a in two:
-        for b in two:
-            if a < b or a == b and len(take[a]) > 1:
-                for s in sizes:
-                    if gain < s - a - b <= room:
-                        best, gain = ([s], [a, b]), s - a - b
-    return best
-
-
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, tries: int = 100_000) -> list[list[int]]:
+
+    def __init__(self):
+        self.rooms: list[dict[int, int]] = [{}, {}]
+        self._bins: list[dict[tuple[int, int], set[int]]] = [{}, {}]
+
+    @staticmethod
+    def _sums(sizes: dict[int, list[int]]) -> tuple[set[int], set[int]]:
+        alone = sorted(sizes)
+        return {0, *alone}, {a + b for k, a in enumerate(alone) for b in alone[k:] if a != b or len(sizes[a]) > 1}
+
+    def add(self, b: int, sizes: dict[int, list[int]], room: int) -> None:
+        for rooms, bins, sums in zip(self.rooms, self._bins, self._sums(sizes)):
+            for s in sums:
+                bins.setdefault((s, room), set()).add(b)
+                rooms[s] = rooms.get(s, 0) | 1 << room
+
+    def remove(self, b: int, sizes: dict[int, list[int]], room: int) -> None:
+        for rooms, bins, sums in zip(self.rooms, self._bins, self._sums(sizes)):
+            for s in sums:
+                held = bins[s, room]
+                held.remove(b)
+                if not held:
+                    del bins[s, room]
+                    rooms[s] ^= 1 << room
+                    if not rooms[s]:
+                        del rooms[s]
+
+    def best(self, sizes: dict[int, list[int]], most: int) -> tuple[int, int, int, bool] | None:
+        """bin, sum to give, sum to take and whether that is of two pieces, of an exchange that gains most.
+
+        Only bins with at most `most` room are asked; of those that gain alike, one with the tightest room is taken.
+        """
+        one, two = 0, 0
+        for a in sizes:
+            one |= 1 << a
+        for a, held in sizes.items():
+            two |= (one if len(held) > 1 else one ^ 1 << a) << a
+        below = (2 << most) - 1
+        best, gain = None, 0
+        for pairs, totals in ((False, one | two), (True, one)):
+            for s, rooms in self.rooms[pairs].items():
+                largest = (rooms & below).bit_length() - 1
+                if largest > gain:
+                    d = (totals >> s & (2 << largest) - 1).bit_length() - 1
+                    if d > gain:
+                        best, gain = (s, pairs), d
+        if best is None:
+            return None
+        s, pairs = best
+        fitting = self.rooms[pairs][s] >> gain
+        room = gain + (fitting & -fitting).bit_length() - 1
+        return min(self._bins[pairs][s, room]), s + gain, s, pairs
+
+
+def _chosen(sizes: dict[int, list[int]], total: int, pair: bool) -> list[int]:
+    """The sizes of one piece, or else of two, that make the total."""
+    if not total:
+        return []
+    if total in sizes and not pair:
+        return [total]
+    a = next(a for a in sorted(sizes) if total - a in sizes and (2 * a != total or len(sizes[a]) > 1))
+    return [a, total - a]
+
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Empty the least filled bins into the room of the others.
 
     A bin's pieces are moved or exchanged, one for one, two for one or one for
-    two, with those of fuller bins, tightest room first, as long as the sum of
-    squared fills grows. It ends when the bins are as few as the total length
-    allows, after a round without an exchange, or after `tries` looks at a pair
-    of bins; a stop leaves a valid packing, only with more bins.
+    two, with those of bins at least as full, the largest gain first, then the
+    tightest room, as long as there is a gain; each raises the sum of squared
+    fills. It ends when the bins are as few as the total length allows, or after
+    a round without an exchange: then no bin has a gaining exchange left.
     """
     fill = [int(lengths[b].sum()) for b in bins]
     needed = -(-sum(fill) // capacity)
     live = len(bins)
-
-    def by_size(b: int) -> dict[int, list[int]]:
-        out: dict[int, list[int]] = {}
-        for i in bins[b]:
-            out.setdefault(int(lengths[i]), []).append(i)
-        return out
+    if live <= needed:
+        return bins
+    held: dict[int, dict[int, list[int]]] = {}
+    open_ = _Open()
+    for b, pieces in enumerate(bins):
+        if fill[b] < capacity:
+            held[b] = {}
+            for i in pieces:
+                held[b].setdefault(int(lengths[i]), []).append(i)
+            open_.add(b, held[b], capacity - fill[b])
+
+    def move(sizes: list[int], source: dict[int, list[int]], target: dict[int, list[int]]) -> None:
+        for s in sizes:
+            target.setdefault(s, []).append(source[s].pop())
+            if not source[s]:
+                del source[s]
 
     changed = True
-    while changed and live > needed and tries > 0:
+    while changed and live > needed:
         changed = False
-        open_bins = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: (-fill[b], b))
-        for source in reversed(open_bins):
-            if live <= needed or tries <= 0:
+        for source in sorted((b for b in held if 0 < fill[b] < capacity), key=lambda b: (fill[b], -b)):
+            if live <= needed:
                 break
-            give = by_size(source)
-            for target in open_bins:
-                room = capacity - fill[target]
-                if target == source or not room or fill[target] < fill[source]:
-                    continue
-                tries -= 1
-                # A gain d raises the squares when d > fill of the source - fill of the target.
-                found = _exchange(give, by_size(target), room, max(1, fill[source] - fill[target] + 1))
-                if not found:
-                    continue
+            if fill[source] == capacity:
+                continue
+            give = held[source]
+            open_.remove(source, give, capacity - fill[source])
+            while give and (found := open_.best(give, capacity - fill[source])):
+                target, total, back, pair = found
+                theirs = held[target]
+                open_.remove(target, theirs, capacity - fill[target])
+                there, here = _chosen(give, total, False), _chosen(theirs, back, pair)
+                move(there, give, theirs)
+                move(here, theirs, give)
+                fill[target] += total - back
+                fill[source] -= total - back
+                if fill[target] < capacity:
+                    open_.add(target, theirs, capacity - fill[target])
                 changed = True
-                theirs = by_size(target)
-                out = []
-                for s in found[0]:
-                    out.append(give[s].pop())
-                    if not give[s]:
-                        del give[s]
-                for s in found[1]:
-                    i = theirs[s].pop()
-                    bins[target].remove(i)
-                    bins[source].append(i)
-                    give.setdefault(s, []).append(i)
-                for i in out:
-                    bins[source].remove(i)
-                    bins[target].append(i)
-                d = sum(found[0]) - sum(found[1])
-                fill[target] += d
-                fill[source] -= d
-                if not bins[source]:
-                    live -= 1
-                    break
+            if give:
+                open_.add(source, give, capacity - fill[source])
+            else:
+                live -= 1
+    for b, sizes in held.items():
+        bins[b] = [i for pieces in sizes.values() for i in pieces]
     return [b for b in bins if b]
 
 
@@ -185,7 +228,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, block: int = 1 << 16) -
 
     Pieces are packed in blocks of at most `block` short pieces of a partition,
     so no task holds more; the pieces of bins that a block leaves less than
-    nine tenths full go on to the next block. Every partition may thus leave
+    nine tenths full go on to the next block, those of the least filled bins
+    first, up to a quarter of a block. Every partition may thus leave
     one bin unfilled, few against what it packs. Read from a written table, a
     lost task packs the same pieces again. Pieces of length 0 share bins with
     others. No pieces give no rows.
@@ -211,8 +255,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, block: int = 1 << 16) -
             lengths = short.column("length").to_numpy()
             # A piece of length 0 takes no room; it is counted as 1 and never overfills a bin.
             bins = pack(np.maximum(lengths, 1), capacity)
-            keep = [] if last else [b for b in bins if lengths[b].sum() < 0.9 * capacity]
-            keep = keep if sum(map(len, keep)) <= block // 4 else []
+            keep = [] if last else sorted((b for b in bins if lengths[b].sum() < 0.9 * capacity), key=lambda b: lengths[b].sum())
+            keep = keep[: int(np.searchsorted(np.cumsum([len(b) for b in keep]), block // 4, side="right"))]
             open_bins = {b[0] for b in keep}
             done = [b for b in bins if b[0] not in open_bins]
             rest = short.take(pa.array([i for b in keep for i in b], pa.int64())) if keep else None

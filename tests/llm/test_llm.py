@@ -102,6 +102,24 @@ def test_local_search_empties_bins():
         assert len(bins) <= -(-lengths.sum() // 100) + 2
 
 
+def test_local_search_of_mid_sizes():
+    """Pieces of which best fit puts two or three in a bin; no limit on looks ends the search early."""
+    lengths = np.random.default_rng(3).integers(600, 761, 4096)
+    start = packing.best_fit(lengths, 2048)
+    found = packing.local_search([b[:] for b in start], lengths, 2048)
+    assert sorted(i for b in found for i in b) == list(range(len(lengths)))
+    assert all(lengths[b].sum() <= 2048 for b in found)
+    assert len(found) <= 1.02 * -(-lengths.sum() // 2048) < len(start)
+
+
+def test_underfull_bins_go_on(spark):
+    """Blocks of pieces that leave every bin underfull, then small ones that fill them."""
+    rows = [(i, 1100) for i in range(64)] + [(100 + i, 900) for i in range(64)]
+    pieces = spark.createDataFrame(rows, "doc_id bigint, length bigint").coalesce(1).sortWithinPartitions("doc_id")
+    found = packing.pack_pieces(pieces, 2048, block=64).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    assert len(found) < 96 and max(r["n"] for r in found) <= 2048
+
+
 def test_token_files(spark, odd, none):
     folder = token_files.new_folder(spark)
     token_files.write_token_files(odd, folder, BYTE_BPE, shard_bytes=20_000)
