@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import chat, jaccard, line_dedup, line_rules, packing, piece_transducer, ppm, quality, token_files, top_k
+from pageloom.llm import chat, jaccard, line_dedup, line_rules, packing, piece_transducer, ppm, quality, token_files, top_k, url_filter
 from pageloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,18 @@ def op10_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return piece_transducer.round_trips(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+URL_RULES = (
+    url_filter.Rule("allow", "org", "/"), url_filter.Rule("block", "example.org", "/es/"), url_filter.Rule("block", "example.org", "/en/1"),
+    url_filter.Rule("allow", "com", "/fr/"), url_filter.Rule("block", "com", "/de/"),
+)
+
+
+def op13_url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    judged = url_filter.url_verdicts(pages, URL_RULES, url_filter.listed_by_words(pages))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "listed")
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -79,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_sentencepiece": op10_sentencepiece,
+    "op13_url_filters": op13_url_filters,
 }
 
 # Digits and letters that a normal line replaces, for SQL's translate().
@@ -137,4 +150,20 @@ ORACLES: dict[str, str] = {
               FROM v AS q, v WHERE q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op13_url_filters": r"""
+        WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        h AS (SELECT page_id, regexp_extract(rest, '^([^/?#]*)', 1) AS raw, rest FROM r),
+        p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_extract(substr(rest, length(raw) + 1), '^([^?#]*)', 1) AS path FROM h),
+        j AS (SELECT *, list_has_any(string_split(replace(host, '-', '.'), '.'), ['ads', 'adult', 'bet', 'bets', 'casino', 'pills', 'porn', 'spam', 'xxx']) AS named FROM p),
+        -- A host is listed with every host below it.
+        l AS (SELECT DISTINCT host FROM j WHERE named),
+        k AS (SELECT *, EXISTS (SELECT 1 FROM l WHERE j.host = l.host OR ends_with(j.host, '.' || l.host)) AS listed,
+                     CASE WHEN regexp_matches(host, '(^|\.)example\.org$') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+                          WHEN regexp_matches(host, '(^|\.)example\.org$') AND starts_with(path, '/es/') THEN 'example.org/es/'
+                          WHEN regexp_matches(host, '(^|\.)com$') AND starts_with(path, '/fr/') THEN 'com/fr/'
+                          WHEN regexp_matches(host, '(^|\.)com$') AND starts_with(path, '/de/') THEN 'com/de/'
+                          WHEN regexp_matches(host, '(^|\.)org$') AND starts_with(path, '/') THEN 'org/' END AS rule FROM j)
+        SELECT page_id, host, path, rule, listed,
+               CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN listed THEN 'block' ELSE 'allow' END AS verdict FROM k""",
 }
