@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import chat, jaccard, line_dedup, line_rules, packing, piece_transducer, ppm, quality, token_files, top_k, url_filter
+from pageloom.llm import chat, jaccard, line_dedup, line_rules, packing, piece_transducer, ppm, quality, token_files, top_k, turn_repair, url_filter
 from pageloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,11 @@ def op10_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return piece_transducer.round_trips(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_turn_repair(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations")
+    return turn_repair.repair_summary(turns, turn_repair.damaged(turns))
+
+
 URL_RULES = (
     url_filter.Rule("allow", "org", "/"), url_filter.Rule("block", "example.org", "/es/"), url_filter.Rule("block", "example.org", "/en/1"),
     url_filter.Rule("allow", "com", "/fr/"), url_filter.Rule("block", "com", "/de/"),
@@ -91,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_turn_repair": op11_turn_repair,
     "op13_url_filters": op13_url_filters,
 }
 
