@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import chat, jaccard, line_dedup, line_rules, packing, piece_transducer, ppm, quality, token_files, top_k, turn_repair, url_filter
+from pageloom.llm import chat, jaccard, line_dedup, line_rules, packing, piece_transducer, ppm, quality, spelling, token_files, top_k, turn_repair, url_filter
 from pageloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,10 @@ def op11_turn_repair(spark: SparkSession, sf: str) -> DataFrame:
     return turn_repair.repair_summary(turns, turn_repair.damaged(turns))
 
 
+def op12_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.word_counts(table(spark, sf, "documents"), damage=31))
+
+
 URL_RULES = (
     url_filter.Rule("allow", "org", "/"), url_filter.Rule("block", "example.org", "/es/"), url_filter.Rule("block", "example.org", "/en/1"),
     url_filter.Rule("allow", "com", "/fr/"), url_filter.Rule("block", "com", "/de/"),
@@ -97,6 +101,7 @@ QUERIES: dict[str, Query] = {
     "op9_exact_top_k": op9_exact_top_k,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_turn_repair": op11_turn_repair,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_url_filters": op13_url_filters,
 }
 
