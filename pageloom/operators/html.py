@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html as entities
+import json
 from dataclasses import dataclass
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -316,49 +318,69 @@ def page_heading(html: Column) -> Column:
     return F.when(F.length(text) > 3, text)
 
 
-# Names of the Latin letters with marks in links of European pages, and of the blank that does not break.
-_LATIN_ENTITIES = (
-    ("&auml;", "ä"), ("&ouml;", "ö"), ("&uuml;", "ü"), ("&Auml;", "Ä"), ("&Ouml;", "Ö"), ("&Uuml;", "Ü"), ("&szlig;", "ß"),
-    ("&agrave;", "à"), ("&acirc;", "â"), ("&eacute;", "é"), ("&egrave;", "è"), ("&ecirc;", "ê"), ("&ccedil;", "ç"),
-    ("&aacute;", "á"), ("&iacute;", "í"), ("&oacute;", "ó"), ("&uacute;", "ú"), ("&ntilde;", "ñ"), ("&nbsp;", "\u00a0"), ("&apos;", "'"),
+# One pass over a page's markup. Every repetition is possessive, so that a place is looked at once and
+# nothing is stacked: comments, scripts and styles (to the end of the page if they are not closed), then
+# tags with their attributes. Only an anchor that ends is given out, as group 1.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]++)"""
+_ATTRIBUTES = rf"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE})?+)*+"""
+_MARKUP = (
+    r"(?is)<!--(?:[^-]++|-(?!->))*+(?:-->|\z)"
+    r"|<script(?=[\s/>])(?:[^<]++|<(?!/script[\s/>]))*+(?:</script|\z)"
+    r"|<style(?=[\s/>])(?:[^<]++|<(?!/style[\s/>]))*+(?:</style|\z)"
+    rf"|(<a(?=[\s/]){_ATTRIBUTES}>)"
+    rf"|<[a-z][^\s/>]*+{_ATTRIBUTES}(?:>|\z)"
 )
+# The value of an anchor's first href, past the attributes before it.
+_HREF = rf"""(?is)^<a(?:[\s/]++|(?!href\s*+=)[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE})?+)*+href\s*+=\s*+({_VALUE})"""
+# A character reference: by name with its semicolon, or by number.
+_REFERENCE = r"&(?:[A-Za-z][A-Za-z0-9]{1,40}|#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6});"
 
 
-def _numeric_start(part: Column) -> Column:
-    """A text whose leading numeric character reference, if any, is replaced by its character."""
-    digits = F.regexp_extract(part, r"^&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
+def _named_characters() -> Column:
+    """The characters of all named references, by name, as one constant; the table is the standard library's."""
+    return F.from_json(F.lit(json.dumps({n: c for n, c in html5.items() if n.endswith(";")})), "map<string,string>")
+
+
+def _referred_start(part: Column, named: Column) -> Column:
+    """A text whose leading character reference, if any, is replaced by what it stands for; unknown names stay."""
+    reference = F.regexp_extract(part, f"^{_REFERENCE}", 0)
+    body = F.substring(reference, 2, 64)
+    digits = F.regexp_extract(body, r"^#([0-9]+|[xX][0-9a-fA-F]+);", 1)
     point = F.when(F.lower(F.left(digits, F.lit(1))) == "x", F.conv(F.substring(digits, 2, 6), 16, 10)).otherwise(digits).cast("int")
     # A code point as UTF-32 bytes.
     char = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
     valid = (point > 0) & (point < 0x110000) & ~point.between(0xD800, 0xDFFF)
-    rest = F.regexp_replace(part, r"^&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", "")
-    return F.when((digits != "") & valid, F.concat(char, rest)).otherwise(part)
+    # The map is searched from its start, so the name that URLs are full of is not looked up.
+    by_name = F.when(body == "amp;", "&").otherwise(F.element_at(named, body))
+    meant = F.when(reference == "", F.lit(None)).when(digits == "", by_name).when(valid, char)
+    return F.when(meant.isNull(), part).otherwise(F.concat(meant, F.substring(part, F.length(reference) + 1, F.length(part))))
+
+
+def decode_references(text: Column) -> Column:
+    """A text with its character references decoded once, all HTML names among them."""
+    parts = F.split(text, f"(?={_REFERENCE})")
+    decoded = F.array_join(F.transform(parts, lambda part: _referred_start(part, _named_characters())), "")
+    return F.when(text.contains("&"), decoded).otherwise(text)
 
 
 def page_hrefs(html: Column) -> Column:
-    """The link targets of a page as written, in order, outside comments and scripts."""
-    visible = F.regexp_replace(
-        html, r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", ""
-    )
-    # Whole anchor tags, quoted values as units; then the href by its name, past other attributes and their values.
-    tags = F.regexp_extract_all(visible, F.lit(r"""(?i)<a(?=[\s/])((?:[^>"']|"[^"]*"|'[^']*')*)>"""), F.lit(1))
-    href = r"""(?is)^(?:[\s/]*(?!href[\s=])[^\s=>/"']+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)*?[\s/]*href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-    quoted = F.filter(F.transform(tags, lambda t: F.regexp_extract(t, href, 1)), lambda v: v != "")
+    """The link targets of a page as written, in order, outside comments, scripts and other tags' attributes.
+
+    Linear in the page, whatever is unclosed. Null without a page.
+    """
+    anchors = F.filter(F.regexp_extract_all(html, F.lit(_MARKUP), F.lit(1)), lambda a: a != "")
+    values = F.filter(F.transform(anchors, lambda a: F.regexp_extract(a, _HREF, 1)), lambda v: v != "")
 
     def bare(value: Column) -> Column:
-        out = F.regexp_replace(value, r"""^["']|["']$""", "")
-        for name, char in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), *_LATIN_ENTITIES):
-            out = F.replace(out, F.lit(name), F.lit(char))
-        # The text is cut before each numeric reference, which then gives way to its character.
-        parts = F.split(out, r"(?=&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});)")
-        decoded = F.array_join(F.transform(parts, _numeric_start), "")
-        return strip(F.replace(decoded, F.lit("&amp;"), F.lit("&")))
+        quote = F.left(value, F.lit(1))
+        inner = F.when(quote.isin('"', "'"), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+        return strip(decode_references(inner))
 
     def leads_somewhere(href: Column) -> Column:
         low = F.lower(href)
         return (href != "") & ~href.startswith("#") & ~low.startswith("mailto:") & ~low.startswith("javascript:")
 
-    return F.filter(F.transform(quoted, bare), leads_somewhere)
+    return F.filter(F.transform(values, bare), leads_somewhere)
 
 
 def with_links(pages: DataFrame, same_site: bool = False) -> DataFrame:

@@ -68,6 +68,20 @@ def page_links(spark, sf):
     return html.extract_links(table(spark, sf, "pages"))
 
 
+def link_forms(spark, sf):
+    """Anchors in every form around each page's own html: links of long tags, of many attributes, encoded, hidden."""
+    n, path = F.col("page_id").cast("string"), urls.url_path(F.col("url"))
+    forms = F.concat(
+        F.lit("<a data-x="), F.repeat(F.lit("x"), 3000), F.lit(' href="/long/'), n, F.lit('">1</a><a '), F.repeat(F.lit("d"), 200), F.lit('="z">2</a><a '),
+        F.repeat(F.lit("q='\"' "), 200), F.lit(">3</a><A\nTITLE='<a href=/no>' HREF = '"), path, F.lit("?a=1&amp;b=&Eacute;&aring;&notin;&amp;lt;'>4</A>"),
+        F.lit("<!-- <a href=/no> --><script>'<a href=/no>'</script><img alt='<a href=/no>'><a href=/bare/"), n,
+        F.lit('>5</a><a href="&#47;&#x6e;/'), n, F.lit('&unknown;">6</a><a href="#top">7</a><a href=" MailTo:x@y">8</a>'),
+    )
+    pages = table(spark, sf, "pages").withColumn("html", F.concat(forms, "html", F.lit("<!-- not closed <a href=/no>")))
+    found = pages.select("page_id", F.posexplode(html.page_hrefs(F.col("html"))).alias("pos", "href"))
+    return found.filter("pos < 4").unionByName(found.groupBy("page_id").agg(F.lit(-1).alias("pos"), F.count(F.lit(1)).cast("string").alias("href")))
+
+
 RELATIVE = ("../x", "y?z=1#f", "./", "?p=2", "//cdn.example.com/a", "/a/./b/../c", "mailto", "a//b/..")
 
 
@@ -582,7 +596,7 @@ def corpus_report(spark, sf):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        page_corpus, url_parts, base_paths, page_links, relative_links, queue_decisions, link_reasons, repo_urls,
+        page_corpus, url_parts, base_paths, page_links, link_forms, relative_links, queue_decisions, link_reasons, repo_urls,
         raw_file_names, document_file_names, token_counts, truncated_texts, squeezed_texts, decoded_texts,
         document_chunks, paragraph_chunks, chunk_summary, page_titles, page_headings, cleaned_pages,
         page_block_counts, clean_statuses, clean_summary, cosine_scores, relevance_filter, relevance_by_label,

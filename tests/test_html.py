@@ -133,3 +133,66 @@ def test_unusual_anchors(column):
     assert column(page_hrefs(F.col("a")), page) == [[
         "/one", "/three", "/two", "/köln", "/four", "/five", "/six?a=1&b=2", "/é/😀", "&#99999999;/nine",
     ]]
+
+
+LONG = 1 << 20
+
+
+def test_long_and_unclosed_markup_is_read_once(column):
+    """Tags of a megabyte, very many attributes, and whatever is left open: in linear time, without a deep stack."""
+    pages = {
+        f"<a data-x={'x' * LONG} href='/one'>1</a>": ["/one"],
+        f"<a data-x=\"{'>' * LONG}\" href='/two'>2</a><a href=/three>": ["/two", "/three"],
+        f"<a {'d' * 200}=\"z\">no href</a><a href='/four'>4</a>": ["/four"],
+        "<a " + " ".join(f"name{i}='v{i}'" for i in range(200)) + ">none</a>": [],
+        "<a " + "n " * (LONG // 4) + ">none</a><a href='/five'>": ["/five"],
+        "<a " + "q='\"' " * (LONG // 8) + "href='/six'>": ["/six"],
+        "<a href='/seven'>7</a>" + "<a " * (LONG // 4): ["/seven"],
+        "<a href='/eight'>8</a>" + "<script>" * (LONG // 8): ["/eight"],
+        "<a href='/nine'>9</a>" + "<!-- " * (LONG // 8) + "<a href='/no'>": ["/nine"],
+        "<" * LONG + "a href='/ten'>": ["/ten"],
+        "<a href='/eleven'>" + "<p title='" * (LONG // 16): ["/eleven"],
+    }
+    assert column(html.page_hrefs(F.col("a")), *pages) == list(pages.values())
+
+
+def test_all_named_references(column):
+    from html import unescape
+    from html.entities import html5
+
+    names = sorted(n for n in html5 if n.endswith(";"))
+    page = "".join(f'<a href="/x&{n}y">' for n in names)
+    assert column(html.page_hrefs(F.col("a")), page) == [[f"/x{html5[n]}y" for n in names]]
+    texts = ["a &amp;lt; b", "&unknown; &copy=1 &", "&#65;&#x42;&#0;&#xD800;&#1114112;", "no reference", "&&amp;;", "x" * 1000 + "&eacute;"]
+    expected = ["a &lt; b", "&unknown; &copy=1 &", "AB&#0;&#xD800;&#1114112;", "no reference", "&&;", "x" * 1000 + "é"]
+    assert column(html.decode_references(A), *texts) == expected
+    assert unescape(texts[0]) == expected[0]
+
+
+def test_links_as_a_parser_finds_them(column):
+    """Random markup of attributes, comments and scripts against the standard parser."""
+    import random
+    from html.parser import HTMLParser
+
+    class Hrefs(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            if tag == "a":
+                found.extend([v for k, v in attrs if k == "href" and v and v.strip()][:1])
+
+    rng = random.Random(2)
+    values = ["/a", "'/b c'", '"/d>e"', '"/f\'g"', "/h?i=1&amp;j=2", "' /k '", '""', "&quot;l", '"<a href=/m>"']
+    pieces = ["<!-- <a href=/n> -->", "<script>'<a href=/o>'</script>", "text < b > c", "<style>a{}</style>", "<br/>", "</a>", "<!DOCTYPE html>", "\n"]
+    pages, expected = [], []
+    for _ in range(60):
+        page = ""
+        for _ in range(rng.randint(1, 12)):
+            if rng.random() < 0.3:
+                page += rng.choice(pieces)
+            else:
+                names = [rng.choice(["href", "HREF", "title", "data-href", "x"]) + rng.choice(["=", " = ", "=\n"]) + rng.choice(values) for _ in range(rng.randint(0, 3))]
+                page += "<" + rng.choice(["a", "A", "p", "abbr"]) + "".join(rng.choice([" ", "\n", " disabled "]) + n for n in names) + rng.choice([">", " >"])
+        found = []
+        Hrefs().feed(page)
+        pages.append(page)
+        expected.append([v.strip() for v in found])
+    assert column(html.page_hrefs(F.col("a")), *pages) == expected
