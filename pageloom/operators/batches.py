@@ -95,7 +95,7 @@ def _steps_of(row) -> tuple:
 
 def _summarize(limit: int):
     def run(key, pdf):
-        tokens = pdf.sort_values("seq")["n_tokens"].to_numpy(dtype=np.int64)
+        tokens = pdf.sort_values(["seq", "part"])["n_tokens"].to_numpy(dtype=np.int64)
         upto, moves, exits, opened = block_steps(tokens, limit)
         return pd.DataFrame(
             {"topic": [key[0]], "node": [key[1]], "upto": [upto], "moves": [moves], "exits": [exits], "opened": [opened]}
@@ -141,7 +141,7 @@ def _assign(limit: int):
                 else:
                     state += tokens
                 numbers.append(number)
-            yield pdf[["topic", "seq", "n_tokens"]].assign(batch_no=numbers)
+            yield pdf[["topic", "seq", "part", "n_tokens"]].assign(batch_no=numbers)
 
     return run
 
@@ -149,12 +149,15 @@ def _assign(limit: int):
 def plan_batches(
     texts: DataFrame, limit: int, block_rows: int = BLOCK_ROWS, fan_in: int = FAN_IN
 ) -> DataFrame:
-    """texts(topic, seq, n_tokens) with batch_no: filled in order of seq while the sum is within limit.
+    """texts(topic, seq[, part], n_tokens) with batch_no: filled in order of seq while the sum is within limit.
 
     A text above the limit is a batch of its own. seq is unique in a topic and
-    not negative; the denser, the better the blocks are filled.
+    not negative; the denser, the better the blocks are filled. With `part`,
+    a text may come in several parts, which are placed one after another.
     """
-    rows = texts.select("topic", F.col("seq").cast("bigint"), F.col("n_tokens").cast("bigint"))
+    has_parts = "part" in texts.columns
+    part = F.col("part") if has_parts else F.lit(0)
+    rows = texts.select("topic", F.col("seq").cast("bigint"), part.cast("int").alias("part"), F.col("n_tokens").cast("bigint"))
     rows = rows.withColumn("node", F.floor(F.col("seq") / block_rows))
     last = rows.agg(F.max("node")).first()[0] or 0
     if last == 0:
@@ -185,7 +188,8 @@ def plan_batches(
                 .applyInPandas(_hand_down, entry)
             )
         entered = rows.join(states, ["topic", "node"])
-    placed = entered.repartition("topic", "node").sortWithinPartitions("topic", "node", "seq")
-    return placed.mapInPandas(
-        _assign(limit), "topic string, seq bigint, n_tokens bigint, batch_no bigint"
+    placed = entered.repartition("topic", "node").sortWithinPartitions("topic", "node", "seq", "part")
+    found = placed.mapInPandas(
+        _assign(limit), "topic string, seq bigint, part int, n_tokens bigint, batch_no bigint"
     )
+    return found if has_parts else found.drop("part")

@@ -20,6 +20,8 @@ from pageloom.settings import Settings, context_tokens
 RAW_TITLE, RAW_MARK = "# Raw Extracted Details for: ", "\n\n---\n[Extracted Chunk Details]\n---\n\n"
 NEXT_TITLE, NEXT_MARK = "# Intermediate Summaries for: ", "\n\n---\n[Intermediate Summary]\n---\n\n"
 IRRELEVANT = "IRRELEVANT"
+# A topic's name is shortened to this in the title of a merge request, so that a title's room is known.
+MAX_NAME_CHARS = 400
 MIN_EXTRACT_CHARS = 30
 
 
@@ -100,12 +102,26 @@ def extract_requests(
     return chunks.filter(F.coalesce(F.col("text"), F.lit("")) != "").select("url", "chunk_no", *columns)
 
 
+def merge_room(model: str = Settings.merge_model, completion: int = Settings.merge_completion) -> int:
+    """Tokens of text a merge request has room for."""
+    return context_tokens(model) - completion - 500
+
+
+def _cut(text: Column, kept: Column) -> Column:
+    """How many characters of a text were not kept."""
+    return (F.coalesce(F.length(text), F.lit(0)) - F.coalesce(F.length(kept), F.lit(0))).cast("bigint").alias("n_chars_cut")
+
+
 def merge_requests(
     joined: DataFrame, model: str = Settings.merge_model, completion: int = Settings.merge_completion,
     prompts: Prompts = Prompts(),
 ) -> DataFrame:
-    """One request per batch of joined(topic, level, batch_no, text[, name]); the text is cut to the model's room."""
-    room = context_tokens(model) - completion - 500
+    """One request per batch of joined(topic, level, batch_no, text[, name]).
+
+    A text above the model's room is cut to it, and n_chars_cut says by how much;
+    batches planned by plan_requests are never cut.
+    """
+    room = merge_room(model, completion)
     name = F.col("name" if "name" in joined.columns else "topic")
     text = truncate_tokens(F.col("text"), room)
     system = F.when(F.col("level") == 0, fill(prompts.merge_system, topic=name)).otherwise(
@@ -115,20 +131,23 @@ def merge_requests(
         "merge", model, [F.col("topic"), F.col("level"), F.col("batch_no")],
         fill(prompts.merge, topic=name, text=text), system, F.lit(completion), 0.1,
     )
-    return joined.select("topic", "level", "batch_no", *columns)
+    return joined.select("topic", "level", "batch_no", *columns, _cut(F.col("text"), text))
 
 
 def rating_requests(
     docs: DataFrame, model: str = Settings.rating_model, prompts: Prompts = Prompts()
 ) -> DataFrame:
-    """One request per non-empty doc(topic, text[, name])."""
+    """One request per non-empty doc(topic, text[, name]), on the beginning of a text above the model's room.
+
+    n_chars_cut says how much of it is not seen.
+    """
     name = F.col("name" if "name" in docs.columns else "topic")
     text = truncate_tokens(F.col("text"), context_tokens(model) - 1000)
     columns = _request(
         "rate", model, [F.col("topic")], fill(prompts.rate, topic=name, text=text),
         fill(prompts.rate_system, topic=name), F.lit(None), 0.3,
     )
-    return docs.filter(F.coalesce(F.col("text"), F.lit("")) != "").select("topic", *columns)
+    return docs.filter(F.coalesce(F.col("text"), F.lit("")) != "").select("topic", *columns, _cut(F.col("text"), text))
 
 
 def topic_requests(
@@ -184,3 +203,12 @@ def echo_responses(requests: DataFrame) -> DataFrame:
     return requests.select(
         "request_id", F.substring("prompt", F.lit(1), cap).alias("text"), F.lit(None).cast("string").alias("error")
     )
+
+
+def digest_responses(requests: DataFrame) -> DataFrame:
+    """A stand-in for a model that shows what it was asked: length and md5 of the whole prompt, then the prompt cut to the cap."""
+    cap = F.coalesce(F.col("max_completion"), F.lit(1000)) * 4
+    whole = F.concat_ws(" ", F.length("prompt").cast("string"), F.md5(F.encode("prompt", "UTF-8")), "prompt")
+    return requests.select(
+        "request_id", F.substring(whole, F.lit(1), cap).alias("text"), F.lit(None).cast("string").alias("error")
+    )

@@ -26,7 +26,7 @@ from pageloom.operators.sequence import with_sequence
 from pageloom.operators.storage import materialize
 from pageloom.plans.crawl import crawl_summary
 from pageloom.plans.ingest import ingest
-from pageloom.plans.merge import merge_levels
+from pageloom.plans.merge import merge_topics
 from pageloom.settings import Settings
 from pageloom.sources.readers import read_documents
 from pageloom.sources.writers import write_compiled, write_documents, write_ratings, write_raw
@@ -46,6 +46,7 @@ class CorpusReport:
     extracts: DataFrame
     extract_counts: DataFrame
     costs: DataFrame
+    merges: DataFrame  # seed_id, level, status: done, failed or stuck
     documents: DataFrame
     ratings: DataFrame
 
@@ -99,8 +100,8 @@ def build_corpus_report(
         F.col("seed_id").cast("string").alias("_seed"), F.col("topic").alias("_topic"),
         F.col("start_url").alias("source_url"), url_netloc(F.col("start_url")).alias("domain"),
     )
-    merged = merge_levels(texts, responder, settings.merge_model, settings.max_merge_levels, merge_limit)
-    documents = merged.join(named, F.col("topic") == F.col("_seed")).select(
+    merged = materialize(merge_topics(texts, responder, settings.merge_model, settings.max_merge_levels, merge_limit))
+    documents = merged.filter("status = 'done'").join(named, F.col("topic") == F.col("_seed")).select(
         F.col("_seed").alias("seed_id"), F.col("_topic").alias("topic"), "domain", "source_url", "level",
         F.col("text").alias("body"),
     )
@@ -110,7 +111,8 @@ def build_corpus_report(
         documents.select(F.col("seed_id").alias("topic"), F.col("topic").alias("name"), F.col("body").alias("text")), settings.rating_model
     )
     ratings = parse_ratings(attach_responses(to_rate, responder(to_rate)))
-    ratings = ratings.withColumnRenamed("topic", "seed_id").join(documents.select("seed_id", "topic", "domain"), "seed_id")
+    # Written, so that a second action does not ask the model again.
+    ratings = materialize(ratings.withColumnRenamed("topic", "seed_id").join(documents.select("seed_id", "topic", "domain"), "seed_id"))
 
     kept_tokens = texts.groupBy(F.col("topic").alias("seed_id")).agg(
         F.sum(count_tokens(F.col("text"))).alias("input_tokens")
@@ -129,6 +131,7 @@ def build_corpus_report(
         extracts=extracts,
         extract_counts=extract_summary(extracts),
         costs=cost_estimate(steps, settings),
+        merges=merged.select(F.col("topic").alias("seed_id"), "level", "status"),
         documents=documents,
         ratings=ratings,
     )

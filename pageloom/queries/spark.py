@@ -436,7 +436,7 @@ def topic_requests(spark, sf):
 
 def rating_requests(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("topic"), "text")
-    return _request_view(requests.rating_requests(docs, "gpt-3.5-turbo-16k"), "topic")
+    return _request_view(requests.rating_requests(docs, "gpt-3.5-turbo-16k"), "topic", "n_chars_cut")
 
 
 def _extracts(spark, sf) -> DataFrame:
@@ -552,8 +552,18 @@ def merge_requests(spark, sf):
 
 
 def merge_levels(spark, sf):
-    merged = merge.merge_levels(_texts(spark, sf), requests.echo_responses)
-    return merged.select("topic", "level", digest(F.col("text")).alias("text"))
+    merged = merge.merge_topics(_texts(spark, sf), requests.digest_responses)
+    return merged.select("topic", "level", "status", digest(F.col("text")).alias("text"))
+
+
+def merge_coverage(spark, sf):
+    """Every line of every document as a text, so that most are shorter than their marks: all of them reach a prompt."""
+    lines = table(spark, sf, "documents").select(
+        F.col("lang").alias("topic"), F.col("lang").alias("name"), "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    numbered = with_sequence(lines.filter("text <> ''"), ["topic"], ["doc_id", "pos"])
+    batches = materialize(merge.plan_requests(numbered.select("topic", "name", "seq", "text"), model="gpt-3.5-turbo"))
+    counted = merge.merge_coverage(batches, requests.merge_requests(batches, "gpt-3.5-turbo"))
+    return counted.select("topic", "n_texts", "n_parts", "n_chars", "n_marks", "n_chars_cut")
 
 
 # --- Documents and the report ---
@@ -581,10 +591,10 @@ def page_sequence(spark, sf):
 
 
 def report(spark: SparkSession, sf: str) -> CorpusReport:
-    """Every site and every source as a seed, answered by the echo stand-in."""
+    """Every site and every source as a seed, answered by the stand-in that gives length and md5 of what it is asked."""
     seeds = _all_seeds(spark, sf).withColumn("topic", F.concat(F.lit("Docs of "), "seed_id"))
     return build_corpus_report(
-        seeds, _plain_pages(spark, sf), _repo_files(spark, sf), requests.echo_responses, links=_next_links(spark, sf)
+        seeds, _plain_pages(spark, sf), _repo_files(spark, sf), requests.digest_responses, links=_next_links(spark, sf)
     )
 
 
@@ -604,6 +614,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         selected_repo_items, html_responses, path_topics, link_topics, inferred_topics, parsed_topics,
         extract_requests, topic_requests, rating_requests, extract_outcomes, extract_summary, parsed_ratings,
         model_prices, model_limits, token_totals, cost_estimate, merge_plan, small_batches, joined_texts,
-        merge_requests, merge_levels, document_files, compiled_document, page_sequence, corpus_report,
+        merge_requests, merge_levels, merge_coverage, document_files, compiled_document, page_sequence, corpus_report,
     )
 }

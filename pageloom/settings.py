@@ -51,7 +51,8 @@ class Settings:
     embedding_tokens: int = 8190
     topic_tokens: int = 1500
     merge_completion: int = 4096
-    max_merge_levels: int = 5
+    # None: until every topic is done, failed or stuck.
+    max_merge_levels: int | None = None
     separator_tokens: int = 0
     sentence_sep: str = " "
 

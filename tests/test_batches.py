@@ -1,10 +1,12 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from pageloom.operators import batches
 from pageloom.operators.batches import block_steps, enter, follow_steps, plan_batches
-from pageloom.plans.merge import batch_limit, join_texts, merge_levels, merge_plan
+from pageloom.operators.requests import digest_responses, merge_requests
+from pageloom.plans.merge import RAW_MARK, batch_limit, join_texts, merge_coverage, merge_levels, merge_plan, merge_topics, part_room, plan_requests
 
 
 def fill(tokens, limit, open_with=None):
@@ -122,3 +124,62 @@ def test_assignment_survives_small_arrow_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == fill([i % 7 for i in range(500)], 20)[0]
+
+
+SMALL = "gpt-3.5-turbo"
+
+
+def covered(spark, texts, limit=None):
+    df = spark.createDataFrame([(t, t, i, x) for t, i, x in texts], "topic string, name string, seq bigint, text string")
+    batches_ = plan_requests(df, model=SMALL, limit=limit)
+    prompts = merge_requests(batches_, SMALL)
+    return {r.topic: r.asDict() for r in merge_coverage(batches_, prompts).collect()}, prompts
+
+
+def test_no_text_is_cut(spark):
+    """Many tiny and empty-looking texts, and texts above a request's room, reach the prompts whole and in order."""
+    tiny = [("tiny", i, str(i % 10)) for i in range(14_000)]
+    long = [("long", i, "".join(chr(97 + (i + j) % 26) for j in range(n))) for i, n in enumerate((10, 130_000, 47_000, 3))]
+    got, prompts = covered(spark, tiny + long)
+    assert got["tiny"]["n_texts"] == got["tiny"]["n_marks"] == 14_000 and got["tiny"]["n_chars"] == 14_000
+    assert got["long"]["n_texts"] == 4 and got["long"]["n_parts"] == got["long"]["n_marks"] > 6 and got["long"]["n_chars"] == 177_013
+    assert got["tiny"]["n_chars_cut"] == got["long"]["n_chars_cut"] == 0 and got["tiny"]["n_batches"] > 10
+    for topic, whole in (("tiny", "".join(x for _, _, x in tiny)), ("long", "".join(x for _, _, x in long))):
+        rows = prompts.filter(F.col("topic") == topic).orderBy("batch_no").collect()
+        assert [r.batch_no for r in rows] == list(range(len(rows)))
+        held = [p.split('\n"""\n\nDocument:')[0] for r in rows for p in r.prompt.split(RAW_MARK)[1:]]
+        assert "".join(held) == whole
+
+
+def test_batches_that_fit_are_those_of_the_plain_plan(spark):
+    texts = [("t", i, "x" * (37 * i % 400)) for i in range(1, 300)]
+    df = spark.createDataFrame([(t, t, i, x) for t, i, x in texts], "topic string, name string, seq bigint, text string")
+    plain = merge_plan(df.selectExpr("topic", "seq", "cast(length(text) / 4 as bigint) AS n_tokens"), limit=2000)
+    expected = {r.batch_no: r.n for r in plain.groupBy("batch_no").agg(F.count("*").alias("n")).collect()}
+    assert {r.batch_no: r.n_texts for r in plan_requests(df, limit=2000).collect()} == expected
+
+
+def test_every_topic_ends(spark):
+    """done, failed and stuck; a single text above the room is done as it is."""
+    room = 4 * part_room(SMALL)
+    texts = [("single", 0, "s" * (2 * room)), ("grows", 0, "g" * room), ("grows", 1, "h" * room), ("none", 0, "n" * 50), ("none", 1, "m" * 50)]
+    texts += [("deep", i, "d" * 3000) for i in range(400)]
+    df = spark.createDataFrame(texts, "topic string, seq bigint, text string")
+
+    def answer(requests):
+        text = F.when(F.col("topic") == "grows", F.repeat(F.lit("y"), room)).otherwise(F.substring("prompt", 1, 9000))
+        return requests.select("request_id", text.alias("text"), F.when(F.col("topic") == "none", "refused").alias("error"))
+
+    got = {r.topic: r for r in merge_topics(df, answer, SMALL).collect()}
+    assert {t: r.status for t, r in got.items()} == {"single": "done", "grows": "stuck", "none": "failed", "deep": "done"}
+    assert got["single"].text == "s" * (2 * room) and got["grows"].text is None and got["deep"].level > 1
+    assert merge_levels(df, answer, SMALL).count() == 2
+    few = {r.topic: r.status for r in merge_topics(df.filter("topic = 'deep'"), answer, SMALL, max_levels=1).collect()}
+    assert few == {"deep": "stuck"}
+    assert merge_topics(df.filter("false"), answer).count() == 0
+
+
+def test_the_digest_answer_shows_the_whole_prompt(spark):
+    df = spark.createDataFrame([("a", "p" * 50 + "x", 30), ("b", "p" * 50 + "y", 30)], "request_id string, prompt string, max_completion int")
+    texts = [r.text for r in digest_responses(df).collect()]
+    assert len(set(texts)) == 2 and all(len(t) == 87 and t.startswith("51 ") for t in texts)
