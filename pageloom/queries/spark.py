@@ -340,6 +340,16 @@ def crawl_summary(spark, sf):
     return crawling.crawl_summary(log)
 
 
+def linked_crawl(spark, sf):
+    """Three levels along the links in the pages themselves, to each page's next two before its own; no link table."""
+    steps = _next_links(spark, sf).groupBy("src_url").agg(F.array_sort(F.collect_list("dst_url")).alias("next"))  # two at most
+    anchors = F.transform("next", lambda u: F.concat(F.lit("<a title='a>b' href=\""), F.replace(u, F.lit("&"), F.lit("&amp;")), F.lit('"></a>')))
+    pages = _plain_pages(spark, sf).join(steps, F.col("url") == F.col("src_url"), "left")
+    pages = pages.select("url", F.concat(F.coalesce(F.array_join(anchors, ""), F.lit("")), "html").alias("html"))
+    _, log = crawling.crawl(_site_seeds(spark, sf), pages, 3)
+    return log.select("seed_id", "url", "depth", "status")
+
+
 def _repo_files(spark, sf) -> DataFrame:
     """Every document as a Markdown file of the repository named by its source."""
     path = F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
@@ -610,7 +620,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         raw_file_names, document_file_names, token_counts, truncated_texts, squeezed_texts, decoded_texts,
         document_chunks, paragraph_chunks, chunk_summary, page_titles, page_headings, cleaned_pages,
         page_block_counts, clean_statuses, clean_summary, cosine_scores, relevance_filter, relevance_by_label,
-        text_vectors, crawl_log, crawl_topic_log, crawl_corpus, crawl_summary, ingested_corpus, ingest_summary,
+        text_vectors, crawl_log, crawl_topic_log, crawl_corpus, crawl_summary, linked_crawl, ingested_corpus, ingest_summary,
         selected_repo_items, html_responses, path_topics, link_topics, inferred_topics, parsed_topics,
         extract_requests, topic_requests, rating_requests, extract_outcomes, extract_summary, parsed_ratings,
         model_prices, model_limits, token_totals, cost_estimate, merge_plan, small_batches, joined_texts,

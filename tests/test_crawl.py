@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from pageloom.operators.joins import lookup_join
 from pageloom.operators.sequence import with_sequence
-from pageloom.plans.crawl import crawl, crawl_summary, start_frontier
+from pageloom.operators import storage
+from pageloom.plans import crawl as crawling
+from pageloom.plans.crawl import crawl, crawl_summary, first_discovery, seed_sets, start_frontier
 from pageloom.plans.ingest import ingest
 
 
@@ -136,3 +138,89 @@ def test_sequence_is_dense_with_a_hot_group(spark):
     for values in got.values():
         assert [s for _, s in sorted(values)] == list(range(len(values)))
     assert len(got["hot"]) > 2000
+
+
+def many_seeds(spark, n):
+    """Seeds of two base paths, one inside the other, over a ring of pages."""
+    names = [f"http://h.com/{i}" for i in range(12)] + [f"http://h.com/in/{i}" for i in range(12)]
+    pages = spark.createDataFrame([(u, page()) for u in names], "url string, html string")
+    links = [(names[i], names[(i + k) % 24]) for i in range(24) for k in (1, 5)]
+    seeds = [(i, names[i % 24] + "#x") for i in range(n)]
+    return names, links, seeds, pages, spark.createDataFrame(links, "src_url string, dst_url string"), spark.createDataFrame(seeds, "seed_id int, start_url string")
+
+
+def test_sets_of_seeds_give_the_same_log(spark, monkeypatch):
+    """One row for 64 seeds: with fewer on a base path, a level has no more rows than URLs; 300 seeds need five words."""
+    for n, words in ((40, 1), (300, 5)):
+        names, links, seeds, pages, edges, df = many_seeds(spark, n)
+        steps = []
+        monkeypatch.setattr(crawling, "materialize", lambda d: steps.append(storage.materialize(d)) or steps[-1])
+        corpus, log = crawl(df, pages, 3, links=edges)
+        monkeypatch.undo()
+        levels = [s for s in steps if "passed" in s.columns]
+        assert len(levels) == 4
+        for step in levels:
+            assert step.groupBy("base_path", "url").count().agg(F.max("count")).first()[0] <= words
+            assert step.count() <= 24 * 2 * words and step.groupBy("base_path").agg(F.countDistinct("url"), F.count("*")).filter("count(DISTINCT url) * {} < count(1)".format(words)).count() == 0
+        got = {(r.seed_id, r.url): r.depth for r in log.collect()}
+        expected = {}
+        for seed, start in seeds:
+            start = start.split("#")[0]
+            base, far, todo = start[: start.rindex("/") + 1], {start: 0}, deque([start])
+            while todo:
+                at = todo.popleft()
+                for a, b in links:
+                    if a == at and b not in far and far[at] < 3 and b.startswith(base):
+                        far[b] = far[at] + 1
+                        todo.append(b)
+            expected |= {(seed, u): d for u, d in far.items()}
+        assert got == expected and corpus.count() == len(expected)
+
+
+def test_the_loop_reads_keys_only(spark, pages, monkeypatch):
+    """html is read to be parsed and once at the end; no step of the loop has it, and none shuffles the facts again."""
+    plans = []
+
+    def watched(df, *keys):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return storage.materialize_by(df, *keys) if keys else storage.materialize(df)
+
+    monkeypatch.setattr(crawling, "materialize", watched)
+    monkeypatch.setattr(crawling, "materialize_by", watched)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with tables too large to send
+    try:
+        corpus, log = run(spark, pages, 3)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.undo()
+    held = [p for p in plans if "html#" in p]
+    assert len(held) == 1 and held[0].count("ArrowEvalPython") == 1
+    looped = [p for p in plans if "fetched" in p or "bit_or" in p]
+    assert len(looped) > 4 and not any("html" in p or "text#" in p.replace("has_text#", "") for p in looped)
+    steps = [p for p in plans if "fetched" in p]
+    assert len(steps) == 4 and all("Bucketed: true" in p for p in steps)
+    end = corpus._jdf.queryExecution().executedPlan().toString()
+    assert end.count("ArrowEvalPython") == 0
+    assert "html" not in log._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_page_for_each_url(spark):
+    """Pages with one URL count once, whichever order they come in; repeated seeds are one."""
+    rows = [("http://h.com/a", page("b")), ("http://h.com/a", page("c")), ("http://h.com/b", page()), ("http://h.com/c", page()), ("http://h.com/b", page())]
+    seeds = spark.createDataFrame([("s", "http://h.com/a")] * 3, "seed_id string, start_url string")
+    seen = []
+    for order in (rows, rows[::-1]):
+        corpus, log = crawl(seeds, spark.createDataFrame(order, "url string, html string"), 1)
+        seen.append((sorted(map(tuple, corpus.collect())), sorted(map(str, log.collect()))))
+    assert seen[0] == seen[1] and len(seen[0][0]) == len(seen[0][1]) == 2
+
+
+def test_sets_are_subtracted(spark):
+    schema = "base_path string, url string, no bigint, bits bigint"
+    found = spark.createDataFrame([("b", "u", 0, 5), ("b", "u", 0, -(1 << 63)), ("b", "u", 1, 1), ("b", "v", 0, 2)], schema)
+    visited = spark.createDataFrame([("b", "u", 0, 4), ("b", "v", 0, 3), ("b", "w", 0, 1)], schema)
+    assert sorted(map(tuple, first_discovery(found, visited).collect())) == [("b", "u", 0, 1 - (1 << 63)), ("b", "u", 1, 1)]
+    seeds = spark.createDataFrame([(i, "http://h/x/") for i in range(70)], "seed_id int, start_url string")
+    members, frontier = seed_sets(seeds)
+    assert sorted((r.no, len(r.members)) for r in members.collect()) == [(0, 64), (1, 6)]
+    assert sorted((r.no, r.bits) for r in frontier.collect()) == [(0, -1), (1, 63)]
