@@ -324,14 +324,14 @@ def page_heading(html: Column) -> Column:
 _VALUE = r"""(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]++)"""
 _ATTRIBUTES = rf"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE})?+)*+"""
 _MARKUP = (
-    r"(?is)<!--(?:[^-]++|-(?!->))*+(?:-->|\z)"
-    r"|<script(?=[\s/>])(?:[^<]++|<(?!/script[\s/>]))*+(?:</script|\z)"
-    r"|<style(?=[\s/>])(?:[^<]++|<(?!/style[\s/>]))*+(?:</style|\z)"
-    rf"|(<a(?=[\s/]){_ATTRIBUTES}>)"
-    rf"|<[a-z][^\s/>]*+{_ATTRIBUTES}(?:>|\z)"
+    r"(?is)<(?:!--(?:[^-]++|-(?!->))*+(?:-->|\z)"
+    r"|script(?=[\s/>])(?:[^<]++|<(?!/script[\s/>]))*+(?:</script|\z)"
+    r"|style(?=[\s/>])(?:[^<]++|<(?!/style[\s/>]))*+(?:</style|\z)"
+    rf"|(a(?=[\s/]){_ATTRIBUTES}>)"
+    rf"|[a-z][^\s/>]*+{_ATTRIBUTES}(?:>|\z))"
 )
 # The value of an anchor's first href, past the attributes before it.
-_HREF = rf"""(?is)^<a(?:[\s/]++|(?!href\s*+=)[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE})?+)*+href\s*+=\s*+({_VALUE})"""
+_HREF = rf"""(?is)^a(?:[\s/]++|(?!href\s*+=)[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE})?+)*+href\s*+=\s*+({_VALUE})"""
 # A character reference: by name with its semicolon, or by number.
 _REFERENCE = r"&(?:[A-Za-z][A-Za-z0-9]{1,40}|#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6});"
 

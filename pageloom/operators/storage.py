@@ -35,9 +35,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def materialize_by(df: DataFrame, *keys: str) -> DataFrame:
+def materialize_by(df: DataFrame, *keys: str, dealt: bool = False) -> DataFrame:
     """Write df in the checkpoint folder, bucketed and sorted by keys, and read it back.
 
+    `dealt` says that df is partitioned by the keys already, as after a grouping.
+
     There are as many buckets as shuffle partitions, so that joins on the keys
     take the table as it lies. Its name leaves the catalog at once; the files stay
     like those of other steps.
@@ -46,7 +48,7 @@ def materialize_by(df: DataFrame, *keys: str) -> DataFrame:
     name = f"step_{uuid.uuid4().hex}"
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     path = f"{checkpoint_dir(spark)}/{name}"
-    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    (df if dealt else df.repartition(n, *keys)).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
     held = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
     return held

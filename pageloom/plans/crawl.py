@@ -55,13 +55,13 @@ def seed_sets(seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     extra = [c for c in ("topic_vector",) if c in seeds.columns]
     starts = start_frontier(seeds).drop("depth").join(seeds.select("seed_id", *extra).dropDuplicates(["seed_id"]), "seed_id").dropDuplicates(["seed_id", "url"])
-    numbered = materialize(with_sequence(starts, ["base_path"], ["seed_id", "url"], "_n"))
+    numbered = with_sequence(starts, ["base_path"], ["seed_id", "url"], "_n")
     no = F.floor(F.col("_n") / 64).alias("no")
     bit = (F.col("_n") % 64).cast("int").alias("bit")
     members = numbered.select("base_path", no, F.struct(bit, "seed_id", *extra).alias("m")).groupBy("base_path", "no")
     members = members.agg(F.array_sort(F.collect_list("m"), lambda x, y: x["bit"] - y["bit"]).alias("members"))
     frontier = numbered.select("base_path", "url", no, bit).groupBy(*SET).agg(F.bit_or(_bit(F.col("bit"))).alias("bits"))
-    return materialize(members), materialize(frontier)
+    return materialize(members), frontier
 
 
 def first_discovery(found: DataFrame, visited: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def first_discovery(found: DataFrame, visited: DataFrame) -> DataFrame:
 
 def _of_seeds(pages: DataFrame, seeds: DataFrame) -> DataFrame:
     """Pages of the seeds' sites, where these are few enough to be sent; no seed leaves its site."""
-    sites = materialize(seeds.filter(valid_url(F.col("start_url"))).select(url_site(F.col("start_url")).alias("_site")).distinct())
+    sites = seeds.filter(valid_url(F.col("start_url"))).select(url_site(F.col("start_url")).alias("_site")).distinct()
     if sites.limit(MAX_SENT_SITES + 1).count() > MAX_SENT_SITES:
         return pages
     return pages.withColumn("_site", url_site(F.col("url"))).join(F.broadcast(sites), "_site", "left_semi").drop("_site")
@@ -93,7 +93,7 @@ def page_facts(pages: DataFrame, with_hrefs: bool) -> DataFrame:
     columns = ["page_hash", "has_text", "text", *(["links"] if with_hrefs else [])]
     read = read.select("url", F.xxhash64("html").alias("page_hash"), (F.col("text") != "").alias("has_text"), *columns[2:])
     unique = read.groupBy("url").agg(F.min_by(F.struct(*columns), "page_hash").alias("_page")).select("url", "_page.*")
-    return materialize_by(unique, "url")
+    return materialize_by(unique, "url", dealt=True)
 
 
 def fetch_from_corpus(frontier: DataFrame, facts: DataFrame) -> DataFrame:
@@ -120,6 +120,7 @@ def crawl(
     if max_depth < 0:
         raise ValueError("max_depth must not be negative")
     use_topics = vectors is not None and "topic_vector" in seeds.columns and threshold <= 1.0
+    seeds = materialize(seeds.select("seed_id", "start_url", *(["topic_vector"] if use_topics else [])))
     # The base path names scheme and host, so no link out of a site can be admitted.
     source = _of_seeds(pages.select("url", "html").filter(F.col("html").isNotNull()), seeds)
     facts = page_facts(source, max_depth > 0 and links is None)
@@ -147,15 +148,13 @@ def crawl(
         judged = "judged" if use_topics else "status"
         step = materialize(step.select(*SET, "bits", "passed", F.lit(depth).alias("depth"), judged))
         steps.append(step)
-        if depth == max_depth:
+        if depth == max_depth or step.isEmpty():
             break
         found = step.filter("passed <> 0").select("base_path", "url", "no", "passed").join(edges, "url")
         found = found.select("base_path", F.col("_to").alias("url"), "no", F.col("passed").alias("bits"))
         admitted = found.withColumn("depth", F.lit(depth + 1)).filter(refusal.isNull())
         visited = reduce(DataFrame.unionByName, [part.select(*SET, "bits") for part in steps])
-        frontier = materialize(first_discovery(admitted, visited))
-        if frontier.isEmpty():
-            break
+        frontier = first_discovery(admitted, visited)
     reached = reduce(DataFrame.unionByName, steps)
     return _corpus(reached, members, source, facts), _log(reached, members, use_topics)
 

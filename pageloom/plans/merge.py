@@ -78,19 +78,11 @@ def text_parts(texts: DataFrame, room: int) -> DataFrame:
     return numbered.withColumn("text", piece)
 
 
-def place_parts(parts: DataFrame, limit: int, room: int) -> DataFrame:
-    """parts(topic, seq, part, n_tokens, n_charged) with batch_no, dense in each topic.
+def finer_batches(placed: DataFrame, over: DataFrame, room: int) -> DataFrame:
+    """placed(topic, seq, part, n_charged, batch_no) with the batches of over(topic, batch_no) planned on charged tokens.
 
-    Batches are those of the plan on n_tokens, unless one's charged tokens exceed
-    the room: its parts are then planned on these, and later batches move on.
+    batch_no stays dense in each topic; later batches move on.
     """
-    plan = plan_batches(parts, min(limit, room)).select("topic", "seq", "part", "batch_no")
-    keys = ["topic", "seq", "part"]
-    placed = materialize(parts.select(*keys, "n_charged").join(plan, keys))
-    over = placed.groupBy("topic", "batch_no").agg(F.sum("n_charged").alias("n")).filter(F.col("n") > room).drop("n")
-    over = materialize(over)
-    if over.isEmpty():
-        return placed
     inside = F.concat(F.col("batch_no").cast("string"), F.lit(":"), F.col("topic"))
     again = placed.join(over, ["topic", "batch_no"], "left_semi").select(inside.alias("topic"), "seq", "part", F.col("n_charged").alias("n_tokens"))
     finer = plan_batches(again, room).select(F.col("topic").alias("_inside"), "seq", "part", F.col("batch_no").alias("_sub"))
@@ -152,12 +144,21 @@ def join_texts(batches: DataFrame) -> DataFrame:
 def plan_requests(
     texts: DataFrame, level: int = 0, model: str = Settings.merge_model, limit: int | None = None, completion: int = Settings.merge_completion,
 ) -> DataFrame:
-    """The batches of texts(topic, name, seq, text), joined, of which each fits into a request whole."""
+    """The batches of texts(topic, name, seq, text), joined and written, of which each fits into a request whole.
+
+    They are those of the plan on bare texts, unless one with its marks exceeds the room.
+    """
     room = part_room(model, completion)
     parts = text_parts(texts, room)
-    sized = parts.select("topic", "seq", "part", count_tokens(F.col("text")).alias("n_tokens"), charged_tokens(F.col("text"), level).alias("n_charged"))
-    placed = place_parts(sized, limit or batch_limit(model), room).select("topic", "seq", "part", "batch_no")
-    return join_texts(parts.join(placed, ["topic", "seq", "part"]).withColumn("level", F.lit(level)))
+    keys = ["topic", "seq", "part"]
+    sized = parts.select(*keys, count_tokens(F.col("text")).alias("n_tokens"), charged_tokens(F.col("text"), level).alias("n_charged"))
+    plan = plan_batches(sized, min(limit or batch_limit(model), room)).select(*keys, "batch_no")
+    joined = materialize(join_texts(parts.join(plan, keys).withColumn("level", F.lit(level))))
+    over = joined.filter(F.col("n_charged") > room).select("topic", "batch_no")
+    if over.isEmpty():
+        return joined
+    placed = finer_batches(materialize(sized.join(plan, keys).select(*keys, "n_charged", "batch_no")), over, room)
+    return materialize(join_texts(parts.join(placed.select(*keys, "batch_no"), keys).withColumn("level", F.lit(level))))
 
 
 def merge_coverage(batches: DataFrame, requests: DataFrame) -> DataFrame:
@@ -199,21 +200,23 @@ def merge_topics(
     texts = named.select("topic", "name", "seq", "text").filter(F.coalesce(F.col("text"), F.lit("")) != "")
     level = 0
     while max_levels is None or level < max_levels:
-        batches = materialize(plan_requests(texts, level, model, limit))
-        topics = materialize(batches.groupBy("topic").agg(
-            F.count(F.lit(1)).alias("n_batches"), F.sum("n_texts").alias("n_texts"), F.sum("n_charged").alias("n_charged")))
+        batches = plan_requests(texts, level, model, limit)
+        topics = batches.groupBy("topic").agg(
+            F.count(F.lit(1)).alias("n_batches"), F.sum("n_texts").alias("n_texts"), F.sum("n_charged").alias("n_charged"))
 
         # A topic has reached its last step when its texts make one batch. Only
         # first batches are joined, so a topic of many batches is no hot key.
         state = topics.select("topic", (F.col("n_batches") == 1).alias("is_last"), (F.col("n_texts") == 1).alias("is_single"))
-        first = batches.filter("batch_no = 0").join(state.filter("is_last OR is_single"), "topic", "left").fillna(False, ["is_last", "is_single"])
-        ends.append(first.filter("is_single AND n_parts = 1 AND is_last").select(
+        first = batches.filter("batch_no = 0").join(state, "topic")
+        later = batches.filter("batch_no > 0").withColumns({"is_last": F.lit(False), "is_single": F.lit(False)})
+        ends.append(first.filter("is_single AND is_last").select(
             "topic", F.lit(level).alias("level"), F.lit("done").alias("status"), F.col("first_text").alias("text")))
         # A single text in several parts is done too; it is taken whole.
-        whole = materialize(state.filter("is_single AND NOT is_last").select("topic"))
-        ends.append(texts.join(whole, "topic", "left_semi").select("topic", F.lit(level).alias("level"), F.lit("done").alias("status"), "text"))
-        later = batches.filter("batch_no > 0").join(whole, "topic", "left_anti")
-        later = later.withColumns({"is_last": F.lit(False), "is_single": F.lit(False)})
+        whole = state.filter("is_single AND NOT is_last").select("topic")
+        if not whole.isEmpty():
+            whole = materialize(whole)
+            ends.append(texts.join(whole, "topic", "left_semi").select("topic", F.lit(level).alias("level"), F.lit("done").alias("status"), "text"))
+            later = later.join(whole, "topic", "left_anti")
         asked = first.filter("NOT is_single").unionByName(later)
         requests = merge_requests(asked, model)
         marked = requests.join(asked.select("topic", "name", "batch_no", "is_last"), ["topic", "batch_no"])
@@ -230,11 +233,14 @@ def merge_topics(
             F.when(F.col("n_next").isNull(), "failed").when(F.col("is_last"), "done")
             .when((F.col("n_next") >= F.col("n_charged")) | F.lit(level + 1 == max_levels), "stuck").otherwise("open")
         )
-        judged = materialize(open_topics.select("topic", verdict.alias("status")))
-        ends.append(judged.filter("status IN ('failed', 'stuck')").select("topic", F.lit(level).alias("level"), "status", F.lit(None).cast("string").alias("text")))
-        still = judged.filter("status = 'open'").select("topic")
-        if still.isEmpty():
+        judged = open_topics.select("topic", verdict.alias("status")).filter("status <> 'done'")
+        found = {r["status"] for r in judged.select("status").distinct().collect()}  # three at most
+        judged = materialize(judged) if found else judged
+        if found - {"open"}:
+            ends.append(judged.filter("status <> 'open'").select("topic", F.lit(level).alias("level"), "status", F.lit(None).cast("string").alias("text")))
+        if "open" not in found:
             break
+        still = judged.filter("status = 'open'").select("topic")
         texts = answered.join(still, "topic", "left_semi").select("topic", "name", F.col("batch_no").alias("seq"), "text")
         level += 1
     if not ends:
