@@ -9,7 +9,7 @@ from pageloom.functions.text import count_tokens
 from pageloom.operators.html import clean_html, page_blocks
 
 
-def clean_pages(corpus: DataFrame, nested: str = "all") -> DataFrame:
+def clean_pages(corpus: DataFrame, nested: str = "once") -> DataFrame:
     """corpus(url, content, type, …) with text, n_tokens and status instead of content.
 
     status is ok, no_content, unknown_type or empty_after_clean; text is null

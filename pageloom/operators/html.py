@@ -41,6 +41,20 @@ VOID_TAGS = frozenset((
 REGION_TAGS = {"main": 0, "article": 1, "div": 2, "body": 6}
 MUTE_TAGS = frozenset(("template", "rt", "rp"))
 
+# Fixed values of the HTML standard: elements that end an open paragraph, and what an
+# element ends besides (the nearest of the first, unless one of the second is nearer).
+ENDS_PARAGRAPH = frozenset((
+    "address", "article", "aside", "blockquote", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset",
+    "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "li", "main",
+    "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "td", "th", "tr", "ul",
+))
+PARAGRAPH_BOUNDS = ("button", "caption", "object", "table", "td", "th", "template")
+ENDS_LIKE = {
+    "li": (("li",), ("ul", "ol", "menu")), "dd": (("dd", "dt"), ("dl",)), "dt": (("dd", "dt"), ("dl",)),
+    "td": (("td", "th"), ("table",)), "th": (("td", "th"), ("table",)), "tr": (("tr",), ("table",)),
+}
+NESTING = ("once", "all", "outermost")
+
 PARSED_TYPE = "struct<blocks:array<struct<pos:int,tag:string,text:string,last_cell:boolean>>,fallback:string>"
 
 
@@ -71,13 +85,15 @@ class _BlockParser(HTMLParser):
     name and all inside it; one that fits no open element is ignored.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, implied: bool = False) -> None:
+        """implied: elements end where the HTML standard ends them, and not only at their end tags."""
         super().__init__(convert_charrefs=True)
+        self.implied = implied
         self.pieces: list[str] = []
         self.pending: list[str] = []
         self.blocks: list[_Block] = []
         self.stack: list[_Open] = [_Open("", None, (), None, 0)]
-        self.open_count: dict[str, int] = {}
+        self.open_at: dict[str, list[int]] = {}  # tag -> places in the stack
         self.regions: dict[int, list[int]] = {}  # rule -> [first block, one past the last]
         self.last_cell = -1  # block number of the latest cell
         self.rows: list[int] = []  # row number -> block number of its last cell
@@ -92,8 +108,24 @@ class _BlockParser(HTMLParser):
                 self.pieces.append("".join(self.pending))
             self.pending = []
 
+    def _innermost(self, tags: tuple[str, ...]) -> int:
+        """The place of the last open element of these names, 0 if there is none."""
+        return max((places[-1] for t in tags if (places := self.open_at.get(t))), default=0)
+
+    def _end(self, tags: tuple[str, ...], bounds: tuple[str, ...]) -> None:
+        """Close the last open element of these names and all inside it, unless a bound lies further in."""
+        at = self._innermost(tags)
+        if at and at > self._innermost(bounds):
+            while len(self.stack) > at:
+                self._close()
+
     def _open(self, tag: str, attrs: list, empty: bool) -> None:
         self._flush()
+        if self.implied:
+            if tag in ENDS_PARAGRAPH:
+                self._end(("p",), PARAGRAPH_BOUNDS)
+            if tag in ENDS_LIKE:
+                self._end(*ENDS_LIKE[tag])
         top = self.stack[-1]
         named = dict(reversed(attrs))
         new = _Open(tag, None, (), top.row, 0, top.dropped, top.mute or tag in MUTE_TAGS)
@@ -107,8 +139,8 @@ class _BlockParser(HTMLParser):
         else:
             self._note(new, named)
         if not empty:
+            self.open_at.setdefault(tag, []).append(len(self.stack))
             self.stack.append(new)
-            self.open_count[tag] = self.open_count.get(tag, 0) + 1
 
     def _note(self, new: _Open, named: dict) -> None:
         tag, here = new.tag, len(self.pieces)
@@ -129,7 +161,7 @@ class _BlockParser(HTMLParser):
 
     def _close(self) -> str:
         done = self.stack.pop()
-        self.open_count[done.tag] -= 1
+        self.open_at[done.tag].pop()
         if done.block is not None:
             done.block.end = len(self.pieces)
         for rank in done.ranks:
@@ -146,7 +178,7 @@ class _BlockParser(HTMLParser):
 
     def handle_endtag(self, tag):
         self._flush()
-        if self.open_count.get(tag):
+        if self.open_at.get(tag):
             while self._close() != tag:
                 pass
 
@@ -178,7 +210,7 @@ class _BlockParser(HTMLParser):
         out, covered = [], -1
         for number in range(first, end):
             block = self.blocks[number]
-            if nested == "outermost":
+            if nested != "all":
                 if block.first < covered:
                     continue
                 covered = max(covered, block.end)
@@ -240,7 +272,7 @@ def parse_blocks(page: str | None, nested: str = "all") -> dict | None:
     """Blocks of one page, or its plain text if it cannot be parsed."""
     if page is None:
         return None
-    parser = _BlockParser()
+    parser = _BlockParser(nested == "once")
     try:
         parser.feed(page)
         return {"blocks": parser.result(nested), "fallback": None}
@@ -248,13 +280,16 @@ def parse_blocks(page: str | None, nested: str = "all") -> dict | None:
         return {"blocks": [], "fallback": plain_text(page)}
 
 
-def page_blocks(html: Column, nested: str = "all") -> Column:
+def page_blocks(html: Column, nested: str = "once") -> Column:
     """struct(blocks, fallback) of an HTML column; only that column goes to Python.
 
-    nested="all" lists a block inside a block in both;
-    "outermost" lists it once.
+    nested="once" ends paragraphs, items and cells where the HTML standard does
+    and lists a block inside a block once, so that a page gives no more text than it
+    has. "all" ends blocks at end tags only and lists a block inside a block in both,
+    which for many unclosed blocks is as much as the square of the page; "outermost" lists
+    it once.
     """
-    if nested not in ("all", "outermost"):
+    if nested not in NESTING:
         raise ValueError(f"unknown nesting rule {nested!r}")
 
     @F.pandas_udf(PARSED_TYPE)

@@ -220,6 +220,12 @@ def cleaned_pages(spark, sf):
     return _clean_pages(spark, sf).select("page_id", "status", "n_tokens", digest(F.col("text")).alias("text"))
 
 
+def nested_pages(spark, sf):
+    """Blocks end at end tags only, and a block inside a block is listed in both."""
+    pages = table(spark, sf, "pages").select("page_id", F.col("html").alias("content"), F.lit("html").alias("type"))
+    return clean.clean_pages(pages, nested="all").select("page_id", "status", "n_tokens", digest(F.col("text")).alias("text"))
+
+
 def page_block_counts(spark, sf):
     blocks = html.page_blocks(F.col("html"), "outermost")["blocks"]
     exploded = table(spark, sf, "pages").select(F.explode(blocks).alias("b"))
@@ -618,7 +624,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         page_corpus, url_parts, base_paths, page_links, link_forms, relative_links, queue_decisions, link_reasons, repo_urls,
         raw_file_names, document_file_names, token_counts, truncated_texts, squeezed_texts, decoded_texts,
-        document_chunks, paragraph_chunks, chunk_summary, page_titles, page_headings, cleaned_pages,
+        document_chunks, paragraph_chunks, chunk_summary, page_titles, page_headings, cleaned_pages, nested_pages,
         page_block_counts, clean_statuses, clean_summary, cosine_scores, relevance_filter, relevance_by_label,
         text_vectors, crawl_log, crawl_topic_log, crawl_corpus, crawl_summary, linked_crawl, ingested_corpus, ingest_summary,
         selected_repo_items, html_responses, path_topics, link_topics, inferred_topics, parsed_topics,

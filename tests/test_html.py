@@ -37,6 +37,30 @@ def test_nested_blocks_repeat_or_not():
     assert blocks(page, "outermost") == [("li", "xy"), ("p", "ab")]
 
 
+def test_blocks_end_where_the_standard_ends_them():
+    pages = {
+        "<p>a<p>b<div>c</div><p>d</p>": ["a", "b", "d"],
+        "<p>a<b>b<p>c</b>d": ["ab", "cd"],
+        "<ul><li>a<li>b<ul><li>c<li>d</ul>e<li>f</ul>": ["a", "bcde", "f"],
+        "<table><tr><td>a<td>b<tr><th>c<p>d<p>e</table><p>f": ["a", "b", "c\td\te", "f"],
+        "<p>a<button><p>b</button>c<p>d": ["ac", "d"],
+        "<p>a<table><tr><td>b</table>c<p>d": ["a", "b", "d"],
+        "<li>x<p>y<dl><dt>t<dd>u</dl></li><pre> p </pre>": ["xytu", "p"],
+        "<p>a<span><p>b</span>c</p>d": ["a", "bc"],
+    }
+    assert {p: [t for _, t in blocks(p, "once")] for p in pages} == pages
+
+
+def test_unclosed_blocks_give_no_more_text_than_the_page(spark):
+    """Of 1 MB of paragraphs, items, cells or emphases that nothing closes, each character comes once, and in linear time."""
+    for unit in ("<p>some text", "<p><b>text", "<ul><li>item", "<li>item", "<table><tr><td>cell", "<div><p>in", "<p><table><td>x", "<button><p>y", "<b><div>z"):
+        n = (1 << 20) // len(unit)
+        text = "".join(t for _, t in blocks(unit * n, "once"))
+        assert len(text) <= 2 * n * len(unit), unit
+    clean = clean_pages(spark.createDataFrame([("<p>some text" * 50_000, "html")], "content string, type string"))
+    assert clean.select(F.length("text")).first()[0] == 50_000 * 10 - 1
+
+
 def test_close_tags_fit_or_are_ignored():
     assert blocks("<p><b>a<i>b</p>c</i><p>d</span></p>") == [("p", "ab"), ("p", "d")]
     assert blocks("<p>a<br>b<img src=x>c</p>") == [("p", "abc")]
