@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.common import blocks, text_slices
-from pageloom.llm.token_ids import TextEncoder
+from pageloom.llm.token_ids import encoder_of
 from pageloom.operators.storage import materialize
 
 # --- Packing numbers: plain Python on one block of lengths ---
@@ -204,8 +203,7 @@ def cut_pieces(
     step = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = TextEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for batch in text_slices(batches, 1):
             rows: list[tuple] = []
             encoded = encoder.encode([t or "" for t in batch.column(1).to_pylist()])

@@ -7,7 +7,8 @@ A shard file holds, in this order:
 * index, one array after another: document keys and null flags in payload order;
   for each hash level its bit map of 64-bit words and the number of bits set before
   each word; then for each hash slot a fingerprint (uint32), the place of the
-  first id (uint64) and the number of ids (uint64);
+  first id (uint64), the number of ids (uint64), the key itself (int64) and its
+  number among equal keys (uint32);
 * a JSON header with the array table, and 16 bytes: its length and the magic.
 
 The hash places keys level by level: a key that meets no other at its bit of a
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm.common import mix, text_slices
-from pageloom.llm.token_ids import TextEncoder
+from pageloom.llm.token_ids import encoder_of
 from pageloom.operators.storage import checkpoint_dir, materialize
 
 MAGIC = b"PGLTOK01"
@@ -130,6 +131,7 @@ class ShardWriter:
         for k, (words, ranks) in enumerate(zip(hashed.levels, hashed.ranks)):
             arrays += [(f"level{k}", words), (f"rank{k}", ranks)]
         arrays += [("fingerprints", _fingerprints(keys, copies)[order]), ("starts", starts[order]), ("lengths", lengths[order])]
+        arrays += [("slot_keys", keys[order]), ("slot_copies", copies[order].astype("<u4"))]
         at, listed = int(lengths.sum()) * self._dtype.itemsize, []
         for name, a in arrays:
             listed.append((name, a.dtype.str, at, len(a)))
@@ -181,6 +183,9 @@ class ShardReader:
             return none.astype(bool), none, none
         slot = self._hash.slots(keys, copies)
         found = (slot >= 0) & (prints[slot] == _fingerprints(keys, copies))
+        # A fingerprint rules out nearly all other keys; what it leaves is compared itself.
+        there = slot[found]
+        found[found] = (self._array("slot_keys")[there] == keys[found]) & (self._array("slot_copies")[there] == copies[found])
         return found, starts[slot].astype(np.int64), lengths[slot].astype(np.int64)
 
     def ids(self, start: int, length: int) -> np.ndarray:
@@ -226,8 +231,7 @@ def write_token_files(
     end = None if end_id is None else int(end_id)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = TextEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         tail = b"" if end is None else end.to_bytes(encoder.dtype.itemsize, "little")
         for batch in text_slices(batches, 1):
             raw = [b + tail for b in encoder.encode([t or "" for t in batch.column(1).to_pylist()])]
@@ -235,29 +239,28 @@ def write_token_files(
             low, high = np.searchsorted(limits, keys, "left"), np.searchsorted(limits, keys, "right")
             # An id equal to several limits may lie in any shard between them: equal ids have no order among shards.
             shard = low + np.array([zlib.crc32(b) for b in raw], np.int64) % (high - low + 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shard, pa.int32()), pa.array(raw, pa.binary())], names=["doc_id", "shard", "ids"])
+            width = pa.array(np.full(len(raw), encoder.dtype.itemsize, np.int8))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shard, pa.int32()), width, pa.array(raw, pa.binary())], names=["doc_id", "shard", "width", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The width that encode() used; it follows from the vocabulary.
-        dtype, writer, current = None, None, None
+        writer, current = None, None
 
         def closed():
             n_docs, n_ids = writer.close()
             return pa.RecordBatch.from_pylist([{"shard": current, "file": f"shard-{current:06d}.ids", "n_docs": n_docs, "n_ids": n_ids}], schema=manifest)
 
         for batch in batches:
-            dtype = dtype or TextEncoder(tokenizer).dtype
-            for key, shard, ids in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, shard, width, ids in zip(*(c.to_pylist() for c in batch.columns)):
                 if shard != current:
                     if writer:
                         yield closed()
-                    writer, current = ShardWriter(folder, f"shard-{shard:06d}.ids", dtype), shard
+                    writer, current = ShardWriter(folder, f"shard-{shard:06d}.ids", np.dtype(f"<u{width}")), shard
                 writer.add(key, ids)
         if writer:
             yield closed()
 
     manifest = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
-    encoded = chosen.mapInArrow(encode, "doc_id bigint, shard int, ids binary")
+    encoded = chosen.mapInArrow(encode, "doc_id bigint, shard int, width tinyint, ids binary")
     dealt = encoded.repartitionById(len(limits) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
     written = materialize(dealt.mapInArrow(write, "shard int, file string, n_docs bigint, n_ids bigint"))
     # A row for each shard: the number of shards is the text's size over shard_bytes.

@@ -7,7 +7,9 @@ encoded once by the library, and texts are put together from the cached ids.
 
 from __future__ import annotations
 
+import functools
 import json
+import os
 import re
 from array import array
 
@@ -30,30 +32,42 @@ def _byte_chars() -> dict[int, str]:
 
 
 _BYTE_CHARS = _byte_chars()
-_CACHE_SEGMENTS = 1_000_000
+# What the cached segments may take, and about what one takes beside its text and ids.
+_CACHE_BYTES, _ENTRY_BYTES = 160 << 20, 250
 
 
 class _Cache(dict):
-    """Values made when they are first asked for."""
+    """Values made when they are first asked for; `size` is about the bytes held."""
 
     def __init__(self, make):
-        self._make = make
+        self._make, self.size = make, 0
 
     def __missing__(self, key):
-        self[key] = value = self._make(key)
+        value = self._make(key)
+        if len(key) < 1024:  # a longer segment hardly comes twice
+            self[key] = value
+            self.size += _ENTRY_BYTES + len(key) + len(value)
         return value
 
 
 class TextEncoder:
-    """Ids of texts as little-endian bytes; special tokens' strings are ordinary text."""
+    """Ids of texts as little-endian bytes, those of the library's encode(text, add_special_tokens=False).
 
-    def __init__(self, path: str):
+    A special token's string within a text gives that token, as the library has
+    it, unless `special_as_text`, which takes such strings for ordinary text.
+    """
+
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = special_as_text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        # Texts with one of these strings, in whatever case, are left to the library whole.
+        self._special = [] if special_as_text else [t["content"].lower() for t in spec.get("added_tokens", [])]
+        # What all of them begin with, up to the first letter: the same in every case, and rare in texts.
+        self._mark = re.match(r"[!-@\[-`{-~]*", os.path.commonprefix(self._special)).group()
         kinds = json.dumps([spec.get("normalizer"), spec.get("pre_tokenizer")])
         # Byte level with its own pattern keeps white space; the other kind drops it.
         if spec.get("normalizer") is None and '"use_regex": true' in kinds and spec["pre_tokenizer"]["type"] == "ByteLevel":
@@ -88,7 +102,21 @@ class TextEncoder:
         """The ids of each text, in the bytes of `dtype`."""
         if self._cut is None:
             return self._ids(texts)
-        if len(self._cache) > _CACHE_SEGMENTS:
+        if self._cache.size > _CACHE_BYTES:
             self._cache.clear()
+            self._cache.size = 0
         get, cut = self._cache.__getitem__, self._cut
-        return [self._ids([t])[0] if _ODD.search(t) else b"".join(map(get, cut(t))) for t in texts]
+        return [self._ids([t])[0] if _ODD.search(t) or self._has_special(t) else b"".join(map(get, cut(t))) for t in texts]
+
+    def _has_special(self, text: str) -> bool:
+        if not self._special or (self._mark and self._mark not in text):
+            return False
+        low = text.lower()
+        return any(s in low for s in self._special)
+
+
+@functools.lru_cache(maxsize=2)
+def encoder_of(path: str, special_as_text: bool = False) -> TextEncoder:
+    """The encoder of a worker process: its tasks share the loaded model and the cached segments."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return TextEncoder(path, special_as_text)

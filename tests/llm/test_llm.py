@@ -63,9 +63,38 @@ def test_query_against_sql(spark, sf, name):
 def library_ids(path, text):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer.encode(text, add_special_tokens=False).ids
+    return Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("path", [WORD_BPE, BYTE_BPE])
+def test_special_strings_are_what_the_library_takes_them_for(path):
+    from tokenizers import Tokenizer
+
+    from pageloom.llm.token_ids import TextEncoder, encoder_of
+
+    texts = ["a <|endoftext|> b", "<|ENDOFTEXT|>", "<|startoftext|>x<|", "plain", "", "<|end oftext|> word" * 30, "İ<|endoftext|>", "x" * 3000]
+    library = Tokenizer.from_file(path)
+    plain = encoder_of(path)
+    assert [np.frombuffer(b, plain.dtype).tolist() for b in plain.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    library.encode_special_tokens = True
+    as_text = TextEncoder(path, special_as_text=True)
+    assert [np.frombuffer(b, plain.dtype).tolist() for b in as_text.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoder_of(path) is plain
+
+
+def test_absent_keys_are_not_found(spark, tmp_path):
+    """Keys are compared themselves, not by their fingerprints alone."""
+    writer = token_files.ShardWriter(str(tmp_path), "one.ids", np.dtype("<u2"))
+    for key in range(0, 20_000, 2):
+        writer.add(key, b"\x01\x00")
+    writer.close()
+    reader = token_files.ShardReader(str(tmp_path), "one.ids")
+    reader._slots[0] = np.zeros_like(reader._slots[0])  # as if all fingerprints agreed
+    keys, copies = np.arange(20_000), np.zeros(20_000, int)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(token_files, "_fingerprints", lambda k, c: np.zeros(len(k), "<u4"))
+        there, _, lengths = reader.places(keys, copies)
+    assert there.tolist() == [k % 2 == 0 for k in range(20_000)] and set(lengths[there]) == {1}
 
 
 def test_packing(spark, odd, none):
