@@ -27,6 +27,7 @@ from pageloom.operators.storage import materialize
 from pageloom.plans.crawl import crawl_summary
 from pageloom.plans.ingest import ingest
 from pageloom.plans.merge import merge_topics
+from pageloom.plans.topics import name_seeds
 from pageloom.settings import Settings
 from pageloom.sources.readers import read_documents
 from pageloom.sources.writers import write_compiled, write_documents, write_ratings, write_raw
@@ -51,6 +52,15 @@ class CorpusReport:
     ratings: DataFrame
 
 
+def with_topic_vectors(seeds: DataFrame, embedder: Responder | None) -> DataFrame:
+    """seeds(topic, …) with topic_vector, the embedder's for each different topic, unless they have one."""
+    if embedder is None or "topic_vector" in seeds.columns:
+        return seeds
+    texts = materialize(seeds.select(F.col("topic").alias("text")).distinct())
+    vectors = materialize(embedder(texts).select(F.col("text").alias("topic"), F.col("vector").alias("topic_vector")))
+    return seeds.join(vectors, "topic", "left")
+
+
 def build_corpus_report(
     seeds: DataFrame,
     pages: DataFrame,
@@ -60,14 +70,19 @@ def build_corpus_report(
     vectors: DataFrame | None = None,
     links: DataFrame | None = None,
     merge_limit: int | None = None,
+    listing: DataFrame | None = None,
+    embedder: Responder | None = None,
 ) -> CorpusReport:
-    """Documents for seeds(seed_id, start_url, topic[, topic_vector]).
+    """Documents for seeds(seed_id, start_url[, topic][, topic_vector]).
 
-    Crawl or read repositories, chunk, extract, merge level by level and rate;
+    Seeds without a topic get one from their start page; see name_seeds. With an
+    embedder, which turns texts(text) into texts(text, vector), their topics become
+    the topic vectors of the crawl where none are given. Crawl or read repositories, chunk, extract, merge level by level and rate;
     responder answers the request tables. A page many seeds share is chunked
     and extracted once.
     """
-    corpus, crawl_log = ingest(seeds, pages, files, settings.max_depth, settings.relevance_threshold, vectors, links)
+    seeds = materialize(with_topic_vectors(name_seeds(seeds, pages, responder, settings.rating_model, settings.topic_tokens), embedder))
+    corpus, crawl_log = ingest(seeds, pages, files, settings.max_depth, settings.relevance_threshold, vectors, links, listing)
     corpus = materialize(corpus)
     status = F.when(F.coalesce(F.col("text"), F.lit("")) == "", "empty_after_clean").otherwise("ok")
     clean = corpus.select(

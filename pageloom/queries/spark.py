@@ -24,7 +24,7 @@ from pageloom.plans import crawl as crawling
 from pageloom.plans import ingest as ingesting
 from pageloom.plans import merge
 from pageloom.plans.report import CorpusReport, build_corpus_report
-from pageloom.plans.topics import infer_topics
+from pageloom.plans.topics import infer_topics, name_seeds
 from pageloom.settings import Settings
 from pageloom.sources import readers, writers
 
@@ -386,6 +386,51 @@ def ingest_summary(spark, sf):
     return crawling.crawl_summary(log)
 
 
+def _listing(spark, sf) -> DataFrame:
+    """Every document as an item two folders deep, some listed twice, of other endings or not to be downloaded; one folder is not listed."""
+    doc, text = F.col("doc_id"), F.col("doc_id").cast("string")
+    folder = F.concat("lang", F.lit("/"), (doc % 7).cast("string"))
+    ending = F.element_at(F.array(*[F.lit(e) for e in (".md", ".MDX", ".txt", ".markdown")]), (doc % 4 + 1).cast("int"))
+    site = F.concat(F.lit("https://github.com/corpus/"), "source")
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", F.lit("corpus").alias("owner"), F.col("source").alias("repo"))
+    copies = F.explode(F.when(doc % 13 == 0, F.array(F.lit(""), F.lit("zz"))).otherwise(F.array(F.lit("")))).alias("before")
+    items = docs.select("*", copies).select(
+        "owner", "repo", folder.alias("dir"), F.concat(folder, F.lit("/"), "before", text, ending).alias("path"), F.lit("file").alias("type"),
+        F.concat(site, F.lit("/blob/"), text).alias("html_url"),
+        F.when(doc % 11 != 0, F.concat(F.lit("https://raw.example.com/"), text)).alias("download_url"))
+    # The folders, and in each language's one that leads back to itself.
+    names = docs.select("owner", "repo", "lang", "source", (doc % 7).alias("k")).distinct()
+    none = F.lit(None).cast("string").alias("download_url")
+    pairs = F.explode(F.array(F.struct(F.lit("").alias("dir"), F.col("lang").alias("path")), F.struct(F.col("lang").alias("dir"), F.col("lang").alias("path")), F.struct(
+        F.col("lang").alias("dir"), F.when(F.col("k") != 5, F.concat("lang", F.lit("/"), F.col("k").cast("string"))).alias("path")))).alias("p")
+    folders = names.select("owner", "repo", "source", pairs).select("owner", "repo", "p.dir", "p.path", F.lit("dir").alias("type"), site.alias("html_url"), none)
+    return items.unionByName(folders.distinct())
+
+
+def _downloads(spark, sf) -> DataFrame:
+    return table(spark, sf, "documents").select(
+        F.concat(F.lit("https://raw.example.com/"), F.col("doc_id").cast("string")).alias("download_url"), F.when(F.col("doc_id") % 10 != 3, F.col("text")).alias("content"))
+
+
+def walked_corpus(spark, sf):
+    """Repositories read by walking their listings."""
+    seeds = _all_seeds(spark, sf).filter(F.col("start_url").startswith("https://github.com/"))
+    corpus, log = ingesting.ingest(seeds, _plain_pages(spark, sf), _downloads(spark, sf), listing=_listing(spark, sf))
+    sizes = corpus.select("seed_id", "url", "path", F.length("content").alias("n_chars"))
+    return log.select("seed_id", "url", "status").join(sizes, ["seed_id", "url"], "left")
+
+
+def named_seeds(spark, sf):
+    """A topic for every seed; about a third have none, and the model answers about half of the questions."""
+    seeds = _all_seeds(spark, sf).withColumn("topic", F.when(F.length("seed_id") % 3 != 0, F.concat(F.lit("Docs of "), "seed_id")).otherwise(" "))
+
+    def answer(asked: DataFrame) -> DataFrame:
+        said = F.concat(F.lit('"Topic '), F.left(digest(F.col("prompt")), F.lit(8)), F.lit('"'))
+        return asked.select("request_id", said.alias("text"), F.when(F.length("prompt") % 2 == 1, "refused").alias("error"))
+
+    return name_seeds(seeds, _plain_pages(spark, sf), answer).select("seed_id", "topic", "topic_source")
+
+
 def selected_repo_items(spark, sf):
     doc = F.col("doc_id")
     name = F.concat(F.lit("docs/"), doc.cast("string"), F.element_at(F.array(*[F.lit(e) for e in (".md", ".MDX", ".txt", ".markdown", "")]), (doc % 5 + 1).cast("int")))
@@ -627,7 +672,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         document_chunks, paragraph_chunks, chunk_summary, page_titles, page_headings, cleaned_pages, nested_pages,
         page_block_counts, clean_statuses, clean_summary, cosine_scores, relevance_filter, relevance_by_label,
         text_vectors, crawl_log, crawl_topic_log, crawl_corpus, crawl_summary, linked_crawl, ingested_corpus, ingest_summary,
-        selected_repo_items, html_responses, path_topics, link_topics, inferred_topics, parsed_topics,
+        walked_corpus, named_seeds, selected_repo_items, html_responses, path_topics, link_topics, inferred_topics, parsed_topics,
         extract_requests, topic_requests, rating_requests, extract_outcomes, extract_summary, parsed_ratings,
         model_prices, model_limits, token_totals, cost_estimate, merge_plan, small_batches, joined_texts,
         merge_requests, merge_levels, merge_coverage, document_files, compiled_document, page_sequence, corpus_report,

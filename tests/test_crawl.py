@@ -9,7 +9,8 @@ from pageloom.operators.sequence import with_sequence
 from pageloom.operators import storage
 from pageloom.plans import crawl as crawling
 from pageloom.plans.crawl import crawl, crawl_summary, first_discovery, seed_sets, start_frontier
-from pageloom.plans.ingest import ingest
+from pageloom.plans.ingest import chosen_files, ingest, walk_listing
+from pageloom.plans.topics import name_seeds
 
 
 def page(*links):
@@ -224,3 +225,61 @@ def test_sets_are_subtracted(spark):
     members, frontier = seed_sets(seeds)
     assert sorted((r.no, len(r.members)) for r in members.collect()) == [(0, 64), (1, 6)]
     assert sorted((r.no, r.bits) for r in frontier.collect()) == [(0, -1), (1, 63)]
+
+
+LISTING = "owner string, repo string, dir string, path string, type string, html_url string, download_url string"
+
+
+def test_a_listing_is_walked(spark):
+    rows = [
+        ("", "a", "dir", "u", None), ("a", "a/b", "dir", "u", None), ("a/b", "a", "dir", "u", None),  # leads back
+        ("", "lost", "dir", None, None), ("lost", "lost/x.md", "file", "h/lost", "d"), ("gone", "gone/x.md", "file", "h/gone", "d"),
+        ("", "top.md", "file", "h/top", "d1"), ("a", "a/one.MDX", "file", "h/one", "d2"), ("a/b", "a/b/two.markdown", "file", "h/two", "d3"),
+        ("a/b", "a/b/two.txt", "file", "h/txt", "d4"), ("a/b", "a/b/again.md", "file", "h/top", "d5"), ("a", "a/none.md", "file", "h/none", None),
+    ]
+    listing = spark.createDataFrame([("o", "r", *r) for r in rows] + [("o", "other", "", "x.md", "file", "h/x", "d")], LISTING)
+    roots = spark.createDataFrame([("o", "r"), ("o", "r"), ("o", "empty")], "owner string, repo string")
+    got = {(r.html_url, r.path, r.download_url) for r in walk_listing(roots, listing).collect()}
+    assert got == {("h/top", "a/b/again.md", "d5"), ("h/one", "a/one.MDX", "d2"), ("h/two", "a/b/two.markdown", "d3")}
+    assert walk_listing(roots.filter("false"), listing).count() == 0
+    seeds = spark.createDataFrame([("s", "https://github.com/o/r"), ("t", "https://github.com/o/r")], "seed_id string, start_url string")
+    contents = spark.createDataFrame([("d5", "text"), ("d2", None), ("d3", ""), ("d5", "text")], "download_url string, content string")
+    pages_ = spark.createDataFrame([], "url string, html string")
+    corpus, log = ingest(seeds, pages_, contents, listing=listing)
+    assert sorted(tuple(r) for r in corpus.select("seed_id", "url", "path", "content").collect()) == [(s, "h/top", "a/b/again.md", "text") for s in "st"]
+    assert {(r.url, r.status) for r in log.collect()} == {("h/top", "passed"), ("h/one", "failed"), ("h/two", "filtered")}
+
+
+def test_files_are_chosen_once(spark):
+    rows = [("o", "r", "b.md", "u", "B"), ("o", "r", "a.md", "u", "A"), ("o", "r", "a.md", "u", "A"), ("o", "r", "c.txt", "v", "C"), ("o", "r", "d.md", None, "D")]
+    files = spark.createDataFrame(rows, "owner string, repo string, path string, html_url string, content string")
+    assert [(r.html_url, r.path, r.content) for r in chosen_files(files).collect()] == [("u", "a.md", "A")]
+
+
+def test_seeds_get_topics(spark):
+    """The model is asked once for each start URL that lacks one, and not again by later actions."""
+    asked = []
+
+    def answer(requests):
+        asked.append(requests.count())
+        said = F.when(F.col("prompt").contains("known to the model"), "'A Model Title'")
+        return requests.select("request_id", said.alias("text"), F.lit(None).cast("string").alias("error"))
+
+    rows = [
+        ("given", "http://h.com/a", "Own Topic", 1), ("model", "http://h.com/a#x", None, 2), ("model2", "http://h.com/a", " ", 3), ("page", "http://h.com/b", "", 4),
+        ("host", "http://docs.my-lib.io/", None, 5), ("url", "no host", None, 6),
+    ]
+    seeds = spark.createDataFrame(rows, "seed_id string, start_url string, topic string, n int")
+    pages_ = spark.createDataFrame(
+        [("http://h.com/a", "<p>known to the model</p>"), ("http://h.com/b", "<h1>Heading One</h1>"), ("http://h.com/b", "<h1>Heading One</h1>")], "url string, html string")
+    named = name_seeds(seeds, pages_, answer)
+    for _ in range(2):
+        got = {r.seed_id: (r.topic, r.topic_source, r.n) for r in named.collect()}
+        assert got == {
+            "given": ("Own Topic", "given", 1), "model": ("A Model Title", "model", 2), "model2": ("A Model Title", "model", 3), "page": ("Heading One", "page", 4),
+            "host": ("My Lib", "host", 5), "url": ("no host", "url", 6),
+        }
+    assert asked == [2]
+    plain = {r.seed_id: r.topic_source for r in name_seeds(seeds.drop("topic"), pages_).collect()}
+    assert plain == {"given": "host", "model": "host", "model2": "host", "page": "page", "host": "host", "url": "url"}
+    assert name_seeds(seeds.filter("false"), pages_, answer).count() == 0

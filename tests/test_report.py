@@ -92,3 +92,31 @@ def test_entry_gives_documents(spark):
 def test_echo_keeps_to_the_cap(spark):
     df = spark.createDataFrame([("a", "p" * 50, 5), ("b", "p" * 5000, None)], "request_id string, prompt string, max_completion int")
     assert {r.request_id: len(r.text) for r in echo_responses(df).collect()} == {"a": 20, "b": 4000}
+
+
+def test_topics_become_the_vectors_of_the_crawl(spark):
+    """Seeds without topics are named, their names embedded, and pages far from them are left out; all topics have an end."""
+    pages = spark.createDataFrame(
+        [("http://h.com/d/a", "<h1>Cats at Home</h1><p>about cats and more cats in the house</p><a href=b>b</a><a href=c>c</a>"),
+         ("http://h.com/d/b", "<p>cats again and again and again</p>"), ("http://h.com/d/c", "<p>only dogs here and nothing else</p>")],
+        "url string, html string")
+    embedded = []
+
+    def embed(texts):
+        embedded.extend(r.text for r in texts.collect())
+        return texts.select("text", F.when(F.col("text").contains("Cats"), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))).cast("array<float>").alias("vector"))
+
+    vectors = spark.createDataFrame(
+        [("http://h.com/d/a", [1.0, 0.0]), ("http://h.com/d/b", [0.9, 0.1]), ("http://h.com/d/c", [0.0, 1.0])], "url string, vector array<float>")
+    files = spark.createDataFrame([], "owner string, repo string, path string, html_url string, content string")
+    seeds = spark.createDataFrame([("s", "http://h.com/d/a", None), ("t", "http://h.com/d/c", "Dogs")], "seed_id string, start_url string, topic string")
+
+    def answer(requests):
+        return answers(requests).withColumn("error", F.when(F.col("text").contains("Beginning of the web page"), "refused").otherwise(F.col("error")))
+
+    report = build_corpus_report(seeds, pages, files, answer, vectors=vectors, embedder=embed)
+    assert sorted(embedded) == ["Cats at Home", "Dogs"]
+    assert {(r.seed_id, r.url[-1], r.status) for r in report.crawl_log.collect()} == {
+        ("s", "a", "passed"), ("s", "b", "passed"), ("s", "c", "filtered"), ("t", "c", "passed")}
+    assert {r.seed_id: r.status for r in report.merges.collect()} == {"s": "done", "t": "done"}
+    assert {r.seed_id: r.topic[:4] for r in report.documents.collect()} == {"s": "Cats", "t": "Dogs"}
