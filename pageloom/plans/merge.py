@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions.text import count_tokens
 from pageloom.operators.batches import plan_batches
+from pageloom.operators.ledger import ask
 from pageloom.operators.requests import (
     MAX_NAME_CHARS,
     NEXT_MARK,
@@ -183,6 +184,7 @@ def merge_topics(
     model: str = Settings.merge_model,
     max_levels: int | None = None,
     limit: int | None = None,
+    retries: int = Settings.retries,
 ) -> DataFrame:
     """topics(topic, level, status, text) from extracts(topic, seq, text[, name]); all topics advance together.
 
@@ -192,7 +194,7 @@ def merge_topics(
     its text; failed if no batch was answered; stuck if a level does not lessen
     its tokens, marks counted, or is the last of max_levels. Since these shrink on
     each level, the loop ends. responder turns a request table into a response
-    table and is called once a level.
+    table and is called once a level, and again for what failed; see ask.
     """
     spark = extracts.sparkSession
     ends: list[DataFrame] = []
@@ -219,9 +221,9 @@ def merge_topics(
             later = later.join(whole, "topic", "left_anti")
         asked = first.filter("NOT is_single").unionByName(later)
         requests = merge_requests(asked, model)
-        marked = requests.join(asked.select("topic", "name", "batch_no", "is_last"), ["topic", "batch_no"])
+        marked = requests.select("request_id", "topic", "level", "batch_no").join(asked.select("topic", "name", "batch_no", "is_last"), ["topic", "batch_no"])
         answered = materialize(
-            attach_responses(marked, responder(requests))
+            attach_responses(marked, ask(requests, responder, retries))
             .filter(F.col("response").isNotNull())
             .select("topic", "name", "level", "batch_no", "is_last", F.col("response").alias("text"))
         )

@@ -13,6 +13,7 @@ from pageloom.functions.urls import url_netloc
 from pageloom.operators.chunk import chunk_documents
 from pageloom.operators.clean import clean_summary
 from pageloom.operators.joins import lookup_join
+from pageloom.operators.ledger import ask
 from pageloom.operators.models import cost_estimate, token_totals
 from pageloom.operators.requests import (
     attach_responses,
@@ -81,7 +82,7 @@ def build_corpus_report(
     responder answers the request tables. A page many seeds share is chunked
     and extracted once.
     """
-    seeds = materialize(with_topic_vectors(name_seeds(seeds, pages, responder, settings.rating_model, settings.topic_tokens), embedder))
+    seeds = materialize(with_topic_vectors(name_seeds(seeds, pages, responder, settings.rating_model, settings.topic_tokens, retries=settings.retries), embedder))
     corpus, crawl_log = ingest(seeds, pages, files, settings.max_depth, settings.relevance_threshold, vectors, links, listing)
     corpus = materialize(corpus)
     status = F.when(F.coalesce(F.col("text"), F.lit("")) == "", "empty_after_clean").otherwise("ok")
@@ -95,7 +96,7 @@ def build_corpus_report(
     )
     requests = extract_requests(chunks, settings.extraction_model)
     extracts = materialize(
-        valid_extracts(attach_responses(requests, responder(requests))).select(
+        valid_extracts(attach_responses(requests.drop("prompt", "system"), ask(requests, responder, settings.retries))).select(
             "url", "chunk_no", "outcome", "analysis"
         )
     )
@@ -115,7 +116,7 @@ def build_corpus_report(
         F.col("seed_id").cast("string").alias("_seed"), F.col("topic").alias("_topic"),
         F.col("start_url").alias("source_url"), url_netloc(F.col("start_url")).alias("domain"),
     )
-    merged = materialize(merge_topics(texts, responder, settings.merge_model, settings.max_merge_levels, merge_limit))
+    merged = materialize(merge_topics(texts, responder, settings.merge_model, settings.max_merge_levels, merge_limit, settings.retries))
     documents = merged.filter("status = 'done'").join(named, F.col("topic") == F.col("_seed")).select(
         F.col("_seed").alias("seed_id"), F.col("_topic").alias("topic"), "domain", "source_url", "level",
         F.col("text").alias("body"),
@@ -125,7 +126,7 @@ def build_corpus_report(
     to_rate = rating_requests(
         documents.select(F.col("seed_id").alias("topic"), F.col("topic").alias("name"), F.col("body").alias("text")), settings.rating_model
     )
-    ratings = parse_ratings(attach_responses(to_rate, responder(to_rate)))
+    ratings = parse_ratings(attach_responses(to_rate.drop("prompt", "system"), ask(to_rate, responder, settings.retries)))
     # Written, so that a second action does not ask the model again.
     ratings = materialize(ratings.withColumnRenamed("topic", "seed_id").join(documents.select("seed_id", "topic", "domain"), "seed_id"))
 

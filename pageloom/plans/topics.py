@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pageloom.functions.topics import combine_topic, domain_topic, parse_topic, path_topic
 from pageloom.functions.urls import strip_fragment
 from pageloom.operators.html import clean_html, page_blocks, page_heading, page_title
+from pageloom.operators.ledger import ask
 from pageloom.operators.requests import attach_responses, topic_requests
 from pageloom.operators.storage import materialize
 from pageloom.settings import Settings
@@ -55,6 +56,7 @@ def name_seeds(
     model: str = Settings.rating_model,
     max_tokens: int = Settings.topic_tokens,
     strict: bool = False,
+    retries: int = Settings.retries,
 ) -> DataFrame:
     """seeds(seed_id, start_url[, topic], …) with a topic each, and topic_source: given, model, page, host or url.
 
@@ -76,7 +78,7 @@ def name_seeds(
     if responder is not None:
         texts = start.filter("html IS NOT NULL").select("url", clean_html(page_blocks(F.col("html"))).alias("text"))
         asked = materialize(topic_requests(texts, model, max_tokens))
-        responses = attach_responses(asked, responder(asked)).select("url", "response")
+        responses = attach_responses(asked, ask(asked, responder, retries)).select("url", "response")
     found = materialize(infer_topics(start, responses, strict))
     found = found.select(F.col("url").alias("_url"), F.col("topic").alias("_topic"), F.col("topic_source").alias("_source"))
     joined = known.join(found, "_url", "left")

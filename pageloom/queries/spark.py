@@ -17,7 +17,7 @@ from pageloom.functions.text import (
     squeeze_whitespace,
     truncate_tokens,
 )
-from pageloom.operators import batches, chunk, clean, html, models, relevance, requests
+from pageloom.operators import batches, chunk, clean, html, ledger, models, relevance, requests
 from pageloom.operators.sequence import with_sequence
 from pageloom.operators.storage import materialize
 from pageloom.plans import crawl as crawling
@@ -500,6 +500,22 @@ def rating_requests(spark, sf):
     return _request_view(requests.rating_requests(docs, "gpt-3.5-turbo-16k"), "topic", "n_chars_cut")
 
 
+def request_ledger(spark, sf):
+    """A model that fails some requests once, some twice and some for good; each is asked until it is answered, three times at most."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("topic"), "text")
+    asked = requests.rating_requests(docs)
+    calls = []
+
+    def answer(open_: DataFrame) -> DataFrame:
+        calls.append(1)
+        busy = F.col("topic").cast("bigint") % 5 > len(calls)
+        return requests.digest_responses(open_).drop("error").join(
+            open_.select("request_id", F.when(busy, "busy").alias("error")), "request_id")
+
+    said = ledger.ask(asked, answer, 2)
+    return asked.select("topic", "request_id").join(said, "request_id").select("topic", "attempt", "error", digest(F.col("text")).alias("text"))
+
+
 def _extracts(spark, sf) -> DataFrame:
     """User turns as requests, the assistant turns after them as responses."""
     turns = table(spark, sf, "conversations")
@@ -673,7 +689,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         page_block_counts, clean_statuses, clean_summary, cosine_scores, relevance_filter, relevance_by_label,
         text_vectors, crawl_log, crawl_topic_log, crawl_corpus, crawl_summary, linked_crawl, ingested_corpus, ingest_summary,
         walked_corpus, named_seeds, selected_repo_items, html_responses, path_topics, link_topics, inferred_topics, parsed_topics,
-        extract_requests, topic_requests, rating_requests, extract_outcomes, extract_summary, parsed_ratings,
+        extract_requests, topic_requests, rating_requests, request_ledger, extract_outcomes, extract_summary, parsed_ratings,
         model_prices, model_limits, token_totals, cost_estimate, merge_plan, small_batches, joined_texts,
         merge_requests, merge_levels, merge_coverage, document_files, compiled_document, page_sequence, corpus_report,
     )

@@ -36,6 +36,7 @@ MODEL_PREFIXES = ("gpt-4o-mini", "gpt-4o", "gpt-4-turbo", "gpt-3.5-turbo")
 DEFAULT_CONTEXT = 100000
 
 
+# The defaults below.
 @dataclass(frozen=True)
 class Settings:
     """Limits and model names; every operator takes what it needs as arguments."""
@@ -51,6 +52,8 @@ class Settings:
     embedding_tokens: int = 8190
     topic_tokens: int = 1500
     merge_completion: int = 4096
+    # How often a failed request is asked again.
+    retries: int = 2
     # None: until every topic is done, failed or stuck.
     max_merge_levels: int | None = None
     separator_tokens: int = 0
