@@ -160,16 +160,17 @@ def write_report(
     settings: Settings = Settings(),
     save_raw: bool = False,
     skip_compilation: bool = False,
+    rating_per_document: bool = False,
 ) -> None:
     """Write a report's files below a directory that all executors reach.
 
-    output/ has one text per document, output_quality/ the ratings, output_raw/
+    output/ has one text per document, output_quality/ the ratings (as lines, or as one file per document), output_raw/
     the kept pages if asked for, and documentation/ all texts of output/ in one.
     """
     spark = report.documents.sparkSession
     output = f"{directory.rstrip('/')}/output"
     write_documents(report.documents.select("topic", "domain", "source_url", "body"), output, generated_at, settings)
-    write_ratings(report.ratings, f"{directory.rstrip('/')}/output_quality")
+    write_ratings(report.ratings, f"{directory.rstrip('/')}/output_quality", rating_per_document)
     if save_raw:
         write_raw(report.corpus, f"{directory.rstrip('/')}/output_raw")
     if not skip_compilation and not report.documents.isEmpty():

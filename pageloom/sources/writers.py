@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
+import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions.urls import document_file_name, raw_file_name
+from pageloom.operators.storage import materialize
 from pageloom.settings import Settings
 
 # The rule between parts, and the lines of the compiled text.
@@ -19,20 +24,63 @@ COMPILED_FILE = "\U0001f4c4 Source File: "
 COMPILED_END = "✅ End of Compilation"
 
 
-def write_files(df: DataFrame, directory: str, name: str, text: str) -> None:
-    """One file per row in a directory that all executors reach (local, S3, HDFS, GCS).
+def manifest_dir(directory: str) -> str:
+    """Where the list of a directory's files lies: beside it, so that it is none of them."""
+    return directory.rstrip("/") + "_manifest"
 
-    A repeated task writes the same files again.
+
+def _store(directory: str) -> tuple[fs.FileSystem, str]:
+    filesystem, root = fs.FileSystem.from_uri(directory)
+    filesystem.create_dir(root, recursive=True)
+    return filesystem, root
+
+
+class _Committed:
+    """A file that has its name only once it is whole: written under its attempt's name, renamed at the end, removed if writing fails."""
+
+    def __init__(self, filesystem: fs.FileSystem, root: str, name: str):
+        self._fs, self._path = filesystem, f"{root}/{name}"
+        self._part = f"{root}/.{name}.{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex}"
+
+    def __enter__(self):
+        self._out = self._fs.open_output_stream(self._part)
+        return self._out
+
+    def __exit__(self, kind, value, trace):
+        self._out.close()
+        if kind is None:
+            self._fs.move(self._part, self._path)
+        else:
+            self._fs.delete_file(self._part)
+
+
+def write_files(df: DataFrame, directory: str, name: str, text: str) -> DataFrame:
+    """One file per row in a directory that all executors reach (local, S3, HDFS, GCS); rows without a text have none.
+
+    A file appears whole or not at all, and a repeated task writes the same files
+    again. The files written, file_name and n_bytes, are listed in a Parquet table
+    beside the directory (see manifest_dir), which appears once all are there; it is returned.
     """
 
-    def write(rows: Iterator) -> None:
-        filesystem, root = fs.FileSystem.from_uri(directory)
-        filesystem.create_dir(root, recursive=True)
-        for row in rows:
-            with filesystem.open_output_stream(f"{root}/{row[0]}") as out:
-                out.write(row[1].encode("utf-8", "ignore"))
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, root = _store(directory)
+        for batch in batches:
+            names, sizes = [], []
+            for row in batch.to_pylist():
+                data = row["text"].encode("utf-8", "ignore")
+                with _Committed(filesystem, root, row["name"]) as out:
+                    out.write(data)
+                names.append(row["name"])
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["file_name", "n_bytes"])
+
+    rows = df.select(F.col(name).alias("name"), F.col(text).alias("text")).filter("text IS NOT NULL")
+    return _listed(rows.mapInArrow(write, "file_name string, n_bytes bigint"), directory)
 
-    df.select(name, text).filter(F.col(text).isNotNull()).foreachPartition(write)
+
+def _listed(written: DataFrame, directory: str) -> DataFrame:
+    written.write.mode("overwrite").parquet(manifest_dir(directory))
+    return written.sparkSession.read.schema(written.schema).parquet(manifest_dir(directory))
 
 
 def with_raw_names(corpus: DataFrame) -> DataFrame:
@@ -153,9 +201,43 @@ def compile_documents(docs: DataFrame, generated_at: str, source_dir: str) -> Da
     return bodies.unionByName(ends)
 
 
-def write_compiled(docs: DataFrame, directory: str, generated_at: str, source_dir: str) -> None:
-    """The compiled text as part files that follow one another in name order; nothing without documents."""
-    parts = compile_documents(docs, generated_at, source_dir)
+def write_compiled(docs: DataFrame, directory: str, generated_at: str, source_dir: str) -> DataFrame | None:
+    """The compiled text as part files that follow one another in name order; nothing without documents.
+
+    The rows are dealt out by ranges of their order and each task writes its range
+    as one part, whole or not at all. The manifest beside the directory lists part,
+    file_name, first_byte and n_bytes, so that any piece of the text can be
+    read, or the parts be put together, without reading those before. Parts of an earlier
+    run are removed first.
+    """
     if docs.isEmpty():
-        return
-    parts.orderBy("section", "file_name", "part_no").select("text").write.mode("overwrite").text(directory)
+        return None
+    spark = docs.sparkSession
+    order = ["section", "file_name", "part_no"]
+    rows = compile_documents(docs, generated_at, source_dir).repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = (t for batch in batches for t in batch.column(0).to_pylist())
+        first = next(texts, None)
+        if first is None:
+            return
+        filesystem, root = _store(directory)
+        part, size = TaskContext.get().partitionId(), 0
+        name = f"part-{part:05d}.txt"
+        with _Committed(filesystem, root, name) as out:
+            for text in itertools.chain([first], texts):
+                data = f"{text}\n".encode("utf-8", "ignore")
+                out.write(data)
+                size += len(data)
+        yield pa.RecordBatch.from_pylist([{"part": part, "file_name": name, "n_bytes": size}], schema=listed)
+
+    listed = pa.schema([("part", pa.int32()), ("file_name", pa.string()), ("n_bytes", pa.int64())])
+    filesystem, root = _store(directory)
+    filesystem.delete_dir_contents(root)
+    written = materialize(rows.select("text").mapInArrow(write, "part int, file_name string, n_bytes bigint"))
+    # One row for each part: as many as shuffle partitions at most.
+    offsets, at = [], 0
+    for r in sorted(written.collect()):
+        offsets.append((r["part"], r["file_name"], at, r["n_bytes"]))
+        at += r["n_bytes"]
+    return _listed(spark.createDataFrame(offsets, "part int, file_name string, first_byte bigint, n_bytes bigint").coalesce(1), directory)

@@ -83,6 +83,12 @@ def test_report_is_written(spark, report, tmp_path):
     assert spark.read.parquet(str(tmp_path / "output_raw")).count() == report.corpus.count()
 
 
+def test_a_rating_file_for_each_document(report, tmp_path):
+    write_report(report, str(tmp_path), "NOW", skip_compilation=True, rating_per_document=True)
+    names = sorted(os.listdir(tmp_path / "output_quality"))
+    assert names == [n.replace(".txt", "_quality_assessment.json") for n in sorted(os.listdir(tmp_path / "output"))]
+
+
 def test_entry_gives_documents(spark):
     df = contract.entry(spark)
     assert df.columns == ["seed_id", "topic", "domain", "source_url", "level", "n_chars", "body"]

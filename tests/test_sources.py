@@ -1,6 +1,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from pageloom.sources import readers, writers
@@ -126,3 +127,52 @@ def test_no_file_is_overwritten(spark, tmp_path):
     )
     writers.write_ratings(rated, str(tmp_path / "rated"), file_per_document=True)
     assert len(list((tmp_path / "rated").glob("*.json"))) == 3
+
+
+def test_files_appear_whole_or_not_at_all(spark, tmp_path):
+    """A task that fails on the way leaves no part of a file, under no name, and no manifest; the next run completes all."""
+    rows = spark.createDataFrame([(f"{i}.txt", "x" * 1000 * i) for i in range(6)], "name string, text string").coalesce(1)
+    bad = rows.withColumn("text", F.when(F.col("name") == "4.txt", F.raise_error(F.lit("lost"))).otherwise(F.col("text")))
+    out = tmp_path / "out"
+    with pytest.raises(Exception, match="lost"):
+        writers.write_files(bad, str(out), "name", "text")
+    assert not os.path.exists(tmp_path / "out_manifest" / "_SUCCESS")
+    left = os.listdir(out) if out.exists() else []
+    assert all(not n.startswith(".") and len((out / n).read_text()) == 1000 * int(n[0]) for n in left)
+    listed = writers.write_files(rows, str(out), "name", "text")
+    assert {(r.file_name, r.n_bytes) for r in listed.collect()} == {(f"{i}.txt", 1000 * i) for i in range(6)}
+    assert sorted(os.listdir(out)) == [f"{i}.txt" for i in range(6)]
+
+
+def test_a_file_that_fails_while_written_is_removed(spark, tmp_path):
+    def run(rows):
+        from pyarrow import fs as stores
+
+        store, root = stores.FileSystem.from_uri(str(tmp_path))
+        try:
+            with writers._Committed(store, root, "half.txt") as out:
+                out.write(b"first half")
+                raise OSError("gone")
+        except OSError:
+            pass
+        yield from rows
+
+    spark.range(1).coalesce(1).mapInArrow(run, "id bigint").collect()
+    assert os.listdir(tmp_path) == []
+
+
+def test_compiled_parts_are_listed_with_their_places(spark, tmp_path):
+    docs = spark.createDataFrame([(f"{i:03d}.txt", f"text {i} ü" * (i % 7)) for i in range(200)], "file_name string, text string")
+    target = tmp_path / "compiled"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with texts enough for several tasks
+    try:
+        for _ in range(2):
+            listed = writers.write_compiled(docs, str(target), "NOW", "/src").orderBy("part").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = writers.compile_documents(docs, "NOW", "/src").orderBy("section", "file_name", "part_no").collect()
+    whole = "".join(r.text + "\n" for r in rows).encode()
+    assert len(listed) > 1 and sorted(os.listdir(target)) == [r.file_name for r in listed]
+    assert sum(r.n_bytes for r in listed) == len(whole)
+    for r in listed:
+        assert (target / r.file_name).read_bytes() == whole[r.first_byte : r.first_byte + r.n_bytes]
