@@ -304,7 +304,8 @@ def unseen_grams(wanted: DataFrame, model: Model) -> DataFrame:
             .when(F.col("n").isNotNull(), F.log10("n") - whole)
             .otherwise(F.log10("kinds") - whole + F.col("escaped"))
         )
-        rows = rows.select("key", "n", "escaped", logp.alias("logp"))
+        # Written, so that the driver holds the plan of one order at a time.
+        rows = materialize(rows.select("key", "n", "escaped", logp.alias("logp")))
         below = rows.select(F.col("key").alias("end"), F.col("n").alias("n_below"), F.col("escaped").alias("escaped_below"), F.col("logp").alias("logp_below"))
     return rows.select("key", "logp")
 
@@ -319,10 +320,9 @@ def hot_grams(seen: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
         if held > most:
             break
         least = at
-    found = seen.filter(F.lit(False) if least is None else step >= least).select("key", "logp").toArrow()
-    keys, logp = found.column("key").to_numpy(), found.column("logp").to_numpy()
-    order = np.argsort(keys)
-    return keys[order], logp[order]
+    # In order already, so that the driver holds the list once.
+    found = seen.filter(F.lit(False) if least is None else step >= least).select("key", "logp").orderBy("key").toArrow()
+    return found.column("key").to_numpy(), found.column("logp").to_numpy()
 
 
 # --- Scoring ---
@@ -369,9 +369,11 @@ def lm_scores(
     r = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     n_train, n_kinds = int(r[0]), int(r[1])
     base = float(np.log10(n_train + n_kinds + 1))
-    hot = words.filter(F.col("n") >= -(-n_train // hot_words)).select("key", "n").toPandas().sort_values("key")
     model = train(grams)
-    shared = spark.sparkContext.broadcast((hot["key"].to_numpy(np.int64), hot["n"].to_numpy(np.float64), *hot_grams(model.seen, most_grams)))
+    hot = words.filter(F.col("n") >= -(-n_train // hot_words)).select("key", F.col("n").cast("double")).orderBy("key").toArrow()
+    shared = spark.sparkContext.broadcast((hot.column("key").to_numpy(), hot.column("n").to_numpy(), *hot_grams(model.seen, most_grams)))
+    del hot  # the tasks have it; the driver keeps none of it
+    pa.default_memory_pool().release_unused()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, gram_keys, gram_logs = shared.value
@@ -424,8 +426,9 @@ def lm_scores(
     passed = scored.select("uid", F.explode(F.arrays_zip("cold", "cold_n")).alias("r")).select("uid", F.col("r.cold").alias("key"), F.col("r.cold_n").alias("m"))
     first = materialize(passed.select("key").distinct().join(model.seen.select("key", "logp"), "key", "left"))
     missing = unseen_grams(first.filter(F.col("logp").isNull()).select("key"), model)
+    summed = materialize(summed)
     values = first.filter(F.col("logp").isNotNull()).unionByName(missing)
-    cold_score = passed.join(values, "key").groupBy("uid").agg(F.sum(F.col("m") * F.col("logp")).alias("cold_score"))
+    cold_score = materialize(passed.join(values, "key").groupBy("uid").agg(F.sum(F.col("m") * F.col("logp")).alias("cold_score")))
     whole = scored.drop("rare", "rare_n", "cold", "cold_n").join(summed, "uid", "left").join(cold_score, "uid", "left")
     return whole.select(
         "doc_id", out.alias("held_out"), "n_tokens", (F.col("hot_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
