@@ -4,10 +4,34 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+# The step tables each session has written and not removed.
+_STEPS: WeakKeyDictionary[SparkSession, list[str]] = WeakKeyDictionary()
+
+
+def _new_step(spark: SparkSession, name: str) -> str:
+    path = f"{checkpoint_dir(spark)}/{name}"
+    _STEPS.setdefault(spark, []).append(path)
+    return path
+
+
+def drop_steps(spark: SparkSession) -> int:
+    """Remove the step tables this session has written so far; their number.
+
+    Results read from them lazily are lost, so this comes after they are
+    written. Each table is removed by its own path, in whatever store it lies.
+    """
+    paths = _STEPS.pop(spark, [])
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, or by setCheckpointDir.
 
@@ -30,7 +54,7 @@ def materialize(df: DataFrame) -> DataFrame:
     The table survives the loss of executors, keeps column pruning and gives
     later joins a real size to plan with.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    path = _new_step(df.sparkSession, f"step-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -47,7 +71,7 @@ def materialize_by(df: DataFrame, *keys: str, dealt: bool = False) -> DataFrame:
     spark = df.sparkSession
     name = f"step_{uuid.uuid4().hex}"
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    path = f"{checkpoint_dir(spark)}/{name}"
+    path = _new_step(spark, name)
     (df if dealt else df.repartition(n, *keys)).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
     held = spark.table(name)
     spark.sql(f"DROP TABLE {name}")

@@ -1,5 +1,7 @@
 """Physical plans: where Python runs, what is shuffled, what is broadcast and what is read."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +9,7 @@ import __spark_entry__ as contract
 from pageloom.operators import chunk, clean, html, models, relevance
 from pageloom.operators import requests as rq
 from pageloom.operators.joins import estimated_bytes, lookup_join
-from pageloom.operators.storage import checkpoint_dir, materialize
+from pageloom.operators.storage import checkpoint_dir, drop_steps, materialize, materialize_by
 
 NO_PYTHON = (
     "page_corpus", "url_parts", "base_paths", "page_links", "relative_links", "queue_decisions", "repo_urls",
@@ -71,3 +73,13 @@ def test_steps_are_written_to_the_named_folder(spark):
     df = materialize(spark.range(3))
     folder = spark.conf.get("spark.checkpoint.dir")
     assert checkpoint_dir(spark) == folder and all(folder in f for f in df.inputFiles())
+
+
+def test_steps_are_removed_on_request(spark):
+    """In a session of its own: only its own tables go, the other session's stay."""
+    kept = materialize(spark.range(3))
+    other = spark.newSession()
+    paths = [materialize(other.range(3)).inputFiles()[0], materialize_by(other.range(3), "id").inputFiles()[0]]
+    assert drop_steps(other) == 2 and drop_steps(other) == 0
+    assert not any(os.path.exists(p.removeprefix("file://")) for p in paths)
+    assert kept.count() == 3
