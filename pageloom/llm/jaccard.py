@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pageloom.llm.common import mix, row_key, text_slices
@@ -25,8 +25,10 @@ from pageloom.operators.storage import materialize
 
 _SLICE = 4 << 20
 CELL_BITS = 18
-SKETCH, WIDE_SKETCH = 64, 1024
+SKETCH, WIDE_SKETCH = 256, 1024
 _BLOCK = 256
+# Of a set's keys, the first ones by which a pair that meets at many keys is given out at one of them.
+_FIRST_KEYS = 16
 
 
 def shingle_sets(raws: list[bytes | None], size: int) -> list[np.ndarray]:
@@ -282,33 +284,54 @@ def _pairs_within(first: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[np.n
         row = end
 
 
+def _met_before(x: np.ndarray, y: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """Whether two sets share one of their first keys that comes before a key; rows of first keys, padded with the greatest."""
+    out = np.zeros(len(sig), bool)
+    for k in range(x.shape[1]):
+        key = x[:, k : k + 1]
+        out |= ((key == y) & (key < sig[:, None])).any(1)
+    return out
+
+
 def _open_pairs(shared: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """a, b: possible pairs of sets that share a key, lie in different components so far, and were not compared as hub and member.
+    """a, b: possible pairs of sets that share a key and lie in different components so far.
 
     Keys whose sets are all in one component have none. A key's sets are dealt
     out in blocks, and a task compares the sketches of two blocks, so no task
-    holds more than two blocks of a key and only possible pairs are given out.
+    holds more than two blocks of a key and only possible pairs are given out. A
+    pair that meets at several keys is left to the first of them, as far as the
+    least keys of both tell: sets of different components share only such keys, so
+    the pair is compared there.
     """
     members = shared.select("sig", "node").join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = members.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).filter("m > 1 AND lo <> hi").select("sig", "m")
     k = F.ceil(F.col("m") / _BLOCK).cast("int")
-    rows = members.join(mixed, "sig").withColumn("k", k).withColumn("own", F.pmod(F.xxhash64("node"), "k").cast("int")).join(sketches, "node")
+    rows = materialize(members.join(mixed, "sig"))
+    last = F.array_repeat(F.lit((1 << 63) - 1).cast("bigint"), _FIRST_KEYS)
+    firsts = rows.groupBy("node").agg(F.slice(F.concat(F.slice(F.sort_array(F.collect_set("sig")), 1, _FIRST_KEYS), last), 1, _FIRST_KEYS).alias("firsts"))
+    facts = sketches.join(firsts, "node")
+    rows = rows.withColumn("k", k).withColumn("own", F.pmod(F.xxhash64("node"), "k").cast("int")).join(facts, "node")
     cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
-        "sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "sketch"
+        "sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "sketch", "firsts"
     )
 
     def compared(rows: pa.RecordBatch, first: np.ndarray) -> pa.RecordBatch:
-        own, node, label, n = (rows.column(c).to_numpy() for c in ("own", "node", "label", "n"))
+        sig, own, node, label, n = (rows.column(c).to_numpy() for c in ("sig", "own", "node", "label", "n"))
         one_block = rows.column("i").to_numpy() == rows.column("j").to_numpy()
         sketch = _sketches(rows.column("sketch"))
+        firsts = rows.column("firsts").flatten().to_numpy().reshape(rows.num_rows, _FIRST_KEYS)
         a, b = [], []
         for x, y in _pairs_within(first):
             keep = (label[x] != label[y]) & (node[x] != node[y]) & (one_block[x] | (own[x] != own[y]))
             keep &= 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
             x, y = x[keep], y[keep]
-            keep = _near(sketch[x], sketch[y], n[x], n[y], percent)
-            a.append(np.minimum(node[x], node[y])[keep])
-            b.append(np.maximum(node[x], node[y])[keep])
+            keep = np.concatenate([np.zeros(0, bool), *(
+                _near(sketch[x[c : c + 8192]], sketch[y[c : c + 8192]], n[x[c : c + 8192]], n[y[c : c + 8192]], percent) for c in range(0, len(x), 8192))])
+            x, y = x[keep], y[keep]
+            keep = ~_met_before(firsts[x], firsts[y], sig[x])
+            x, y = x[keep], y[keep]
+            a.append(np.minimum(node[x], node[y]))
+            b.append(np.maximum(node[x], node[y]))
         found = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
 
@@ -332,6 +355,39 @@ def _open_pairs(shared: DataFrame, labels: DataFrame, sketches: DataFrame, perce
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """a, b of hub and node, each pair once."""
+    return pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs of hub and node that do not lie in one component."""
+    of_hub = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
+    known = pairs.join(labels, "node", "left").join(of_hub, "hub", "left")
+    return known.filter(F.coalesce("label", "node") != F.coalesce("hub_label", "hub")).select("hub", "node", "votes")
+
+
+def no_labels(spark: SparkSession) -> DataFrame:
+    """No labels yet: every set is a component of its own."""
+    return spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("label"))
+
+
+def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels(node, label) of components after links a, b join some of them.
+
+    The components are worked out over components, of which each pair is one
+    link; a node without a label is a component by itself.
+    """
+    of_a = labels.select(F.col("node").alias("a"), F.col("label").alias("label_a"))
+    of_b = labels.select(F.col("node").alias("b"), F.col("label").alias("label_b"))
+    ends = links.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    joined = component_labels(ends.filter("a <> b").distinct())
+    moved = joined.select(F.col("node").alias("label"), F.col("label").alias("least"))
+    known = labels.join(moved, "label", "left").select("node", F.coalesce("least", "label").alias("label"))
+    own = labels.select(F.col("label").alias("node")).distinct()
+    return materialize(known.unionByName(joined.join(own, "node", "left_anti")))
+
+
 def _components(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """key, doc_id, node and n of each document; node, label (of its component) and component_id of each set."""
     if not 50 < percent <= 100 or size < 1:
@@ -357,16 +413,22 @@ def _components(docs: DataFrame, id_col: str, text_col: str, size: int, percent:
         left = materialize(possible_pairs(pairs, sets.select("node", "n", "sketch"), percent))
         return materialize(verified(left, sets, percent))
 
-    near = shared.filter(_compatible("hub_n", "n", percent))
-    pairs = near.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
     small = sketches.select("node", "n", "sketch")
-    links = linked(materialize(possible_pairs(pairs, small, percent)))
-    labels = component_labels(links)
+    # Each set with the hub that most of its keys have; then with more of its other hubs a round, as
+    # long as these are apart from it. What is joined already is not compared, so links stay few.
+    near = shared.filter(_compatible("hub_n", "n", percent) & (F.col("hub") != F.col("node")))
+    near = materialize(near.groupBy("hub", "node").agg(F.count(F.lit(1)).alias("votes")))
+    labels, width = no_labels(docs.sparkSession), 1
+    while not near.isEmpty():
+        turn = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("votes"), "hub"))
+        ranked = materialize(near.withColumn("turn", turn))
+        found = linked(materialize(possible_pairs(_ordered(ranked.filter(F.col("turn") <= width)), small, percent)))
+        labels = joined_labels(labels, found)
+        near = materialize(_apart(ranked.filter(F.col("turn") > width).drop("turn"), labels))
+        width *= 4
     open_ = materialize(_open_pairs(shared, labels, small, percent))
-    if open_.limit(1).count():
-        more = linked(open_)
-        if more.limit(1).count():
-            labels = component_labels(links.union(more))
+    if not open_.isEmpty():
+        labels = joined_labels(labels, linked(open_))
 
     first = documents.groupBy("node").agg(F.min("doc_id").alias("first_doc"))
     least = first.join(labels, "node").groupBy("label").agg(F.min("first_doc").alias("component_id"))
@@ -386,9 +448,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     component that has another; equal sets are one class however many documents
     hold it. percent must be 51 to 100. No documents give no rows.
 
-    First each key's hub is compared with the other sets of the key. Keys whose
-    sets then lie in one component are done; in the others all sets in different
-    components are compared. So every link either is found or joins what is
+    First each set is compared with the hub of most of its keys, then round by round
+    with more of those hubs that it is not joined with yet. Keys whose sets then lie in
+    one component are done; in the others all sets in different components are compared. So every link either is found or joins what is
     joined already, without listing the pairs of a group of copies.
     """
     documents, found = _components(docs, id_col, text_col, size, percent)
