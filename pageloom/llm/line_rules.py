@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -111,32 +112,34 @@ def host_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Da
     return normal.select("key", "doc_id", "content", "host", "line_no", F.xxhash64("raw").alias("line"), n_words.alias("n_words"))
 
 
-def frequent_lines(lines: DataFrame, min_docs: int, min_share: float) -> DataFrame:
-    """host, line and first (the content that holds it first) of the lines above the limit.
+def frequent_lines(lines: DataFrame, min_docs: int, min_share: float, many_docs: int) -> DataFrame:
+    """host, line and first (the content that holds it first) of the lines above the limits.
 
-    A line is above it if more than min_docs different documents of the host
-    hold it and these are more than min_share of the host's different
-    documents. Exact copies count as one document.
+    A line is above them if more than min_docs different documents of the host
+    hold it and these are more than min_share of the host's different documents,
+    or if more than many_docs hold it, whatever their share. Exact copies count as
+    one document.
     """
     held = lines.groupBy("host", "line", "content").agg(F.min(F.struct("doc_id", "content")).alias("at"))
     counts = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"), F.min("at").alias("at"))
-    many = counts.filter(F.col("n_docs") > min_docs)
+    many = counts.filter(F.col("n_docs") > min(min_docs, many_docs))
     hosts = lines.groupBy("host", "content").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count(F.lit(1)).alias("n_host"))
-    return many.join(hosts, "host").filter(F.col("n_docs") > min_share * F.col("n_host")).select("host", "line", F.col("at.content").alias("first"))
+    above = (F.col("n_docs") > many_docs) | (F.col("n_docs") > min_share * F.col("n_host"))
+    return many.join(hosts, "host").filter(above).select("host", "line", F.col("at.content").alias("first"))
 
 
-def removed_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_docs: int, min_share: float) -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_docs: int, min_share: float, many_docs: int) -> DataFrame:
     """key, the numbers of the lines to remove and their words, of each document that loses lines."""
     lines = materialize(host_lines(docs, id_col, text_col, host_col))
-    frequent = frequent_lines(lines, min_docs, min_share)
+    frequent = frequent_lines(lines, min_docs, min_share, many_docs)
     # Rows equal in id and text share the key; each place is counted once.
     lost = lines.join(frequent, ["host", "line"]).filter(F.col("content") != F.col("first")).select("key", "line_no", "n_words").distinct()
     return lost.groupBy("key").agg(F.collect_list("line_no").alias("line_nos"), F.sum("n_words").alias("lost_words"))
 
 
 def quality_rules(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 100,
-    min_share: float = 0.02, min_words: int = 10, max_repeat: int = 20, min_left: int = 50,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 10,
+    min_share: float = 0.02, min_words: int = 10, max_repeat: int = 20, min_left: int = 50, many_docs: int = 100,
 ) -> DataFrame:
     """doc_id, the base columns, base_failed, lost_words and kept of every document.
 
@@ -148,7 +151,7 @@ def quality_rules(
     are empty, a null host is a host of its own, null ids come first; equal rows
     are judged alike. No documents give no rows.
     """
-    lost = removed_lines(docs, id_col, text_col, host_col, min_docs, min_share).select("key", "lost_words")
+    lost = removed_lines(docs, id_col, text_col, host_col, min_docs, min_share, many_docs).select("key", "lost_words")
     base = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), _once(base_columns(F.col(text_col))).alias("b"))
     base = base.select("doc_id", "key", "b.*")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
@@ -158,19 +161,23 @@ def quality_rules(
 
 
 def clean_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 100,
-    min_share: float = 0.02, min_words: int = 10, max_repeat: int = 20, min_left: int = 50,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 10,
+    min_share: float = 0.02, min_words: int = 10, max_repeat: int = 20, min_left: int = 50, many_docs: int = 100,
 ) -> DataFrame:
     """The documents that quality_rules keeps, all their columns, without the lines it removes."""
-    lost = removed_lines(docs, id_col, text_col, host_col, min_docs, min_share).select(
-        F.col("key").alias("_lost_key"), F.col("line_nos").alias("_line_nos"), F.col("lost_words").alias("_lost_words")
-    )
-    b = F.col("_base")
-    judged = docs.withColumn("_base", _once(base_columns(F.col(text_col)))).filter(
+    # Names that the table cannot have.
+    mark = uuid.uuid4().hex
+    base, key, line_nos, lost_words = (f"{name}_{mark}" for name in ("base", "key", "line_nos", "lost_words"))
+    lost = removed_lines(docs, id_col, text_col, host_col, min_docs, min_share, many_docs)
+    lost = lost.withColumnsRenamed({"key": key, "line_nos": line_nos, "lost_words": lost_words})
+    b = F.col(base)
+    judged = docs.withColumn(base, _once(base_columns(F.col(text_col)))).filter(
         (b["n_words"] >= min_words) & (100 * b["n_repeat_words"] <= max_repeat * b["n_words"])
     )
-    judged = judged.withColumn("_lost_key", row_key(id_col, text_col)).join(lost, "_lost_key", "left")
-    kept = judged.filter(100 * (b["n_words"] - F.coalesce("_lost_words", F.lit(0))) >= min_left * b["n_words"])
-    parts = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col("_line_nos"), i))
-    text = F.when(F.col("_line_nos").isNull(), F.col(text_col)).otherwise(F.array_join(parts, "\n"))
+    judged = judged.withColumn(key, row_key(id_col, text_col)).join(lost, key, "left")
+    kept = judged.filter(100 * (b["n_words"] - F.coalesce(lost_words, F.lit(0))) >= min_left * b["n_words"])
+    parts = F.split(F.col(text_col), "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(line_nos))
+    text = F.when(F.col(line_nos).isNull(), F.col(text_col)).otherwise(
+        F.element_at(F.transform(F.array(parts), lambda p: F.array_join(F.transform(left, lambda i: F.get(p, i)), "\n")), 1))
     return kept.withColumn(text_col, text).select(*[f"`{c}`" for c in docs.columns])

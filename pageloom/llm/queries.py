@@ -136,7 +136,7 @@ ORACLES: dict[str, str] = {
         dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM lines GROUP BY doc_id),
         hosts AS (SELECT source, count(DISTINCT text) AS n FROM lines GROUP BY source),
         many AS (SELECT l.source, l.n AS line, arg_min(text, doc_id) AS first FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
-                 GROUP BY l.source, l.n, h.n HAVING count(DISTINCT text) > 100 AND count(DISTINCT text) > 0.02 * h.n),
+                 GROUP BY l.source, l.n, h.n HAVING count(DISTINCT text) > 10 AND (count(DISTINCT text) > 100 OR count(DISTINCT text) > 0.02 * h.n)),
         lost AS (SELECT doc_id, sum(len(string_split(n, ' ')))::BIGINT AS n FROM lines l
                  JOIN many m ON l.source IS NOT DISTINCT FROM m.source AND l.n = m.line WHERE text <> first GROUP BY doc_id),
         b AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,

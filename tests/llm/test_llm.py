@@ -437,3 +437,78 @@ def test_pipeline(spark, sf, odd):
     assert {r[0]: r[1] for r in packed} == expected
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd, sf).count() >= 0
+
+
+def near_copies(n, size=120, seed=4):
+    """Texts that each differ from a common one in a word, and so from each other in two."""
+    draw = random.Random(seed)
+    common = [f"w{i}" for i in range(size)]
+    for i in range(n):
+        words = list(common)
+        words[draw.randrange(size)] = f"x{draw.randrange(10 * n)}"
+        yield " ".join(words)
+
+
+def test_near_copies_take_links_in_proportion(spark, monkeypatch):
+    """A group of 5,000 near copies is one component, from a number of compared pairs in proportion to it."""
+    compared = []
+    plain = jaccard.verified
+
+    def counted(pairs, sets, percent):
+        compared.append(pairs.count())
+        return plain(pairs, sets, percent)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    totals = []
+    for n in (1000, 5000):
+        compared.clear()
+        texts = [(i, t) for i, t in enumerate(near_copies(n))] + [(n + i, " ".join(f"p{j}" for j in range(60)) + " " + " ".join(f"q{i}_{j}" for j in range(60))) for i in range(200)]
+        found = jaccard.similar_documents(spark.createDataFrame(texts, "doc_id bigint, text string"), size=4, percent=85).collect()
+        label = {r["doc_id"]: r["component_id"] for r in found}
+        sets = [set(s.tolist()) for s in jaccard.shingle_sets([t.encode() for _, t in texts[:n]], 4)]
+        # Two changed words leave at least 109 of 117 shingles, so all are one component.
+        linked = [i for i in range(1, n) if 100 * len(sets[i] & sets[0]) >= 85 * len(sets[i] | sets[0])]
+        assert len(linked) == n - 1 and all(label[i] == 0 for i in linked)
+        assert all(label[n + i] == n + i for i in range(200))
+        totals.append(sum(compared))
+    assert totals[1] < 8 * totals[0] and totals[1] < 10 * 5200
+
+
+def test_components_joined_step_by_step(spark):
+    draw = random.Random(8)
+    links = [(draw.randrange(300), draw.randrange(300)) for _ in range(220)]
+    labels = jaccard.no_labels(spark)
+    for k in range(0, 220, 55):
+        labels = jaccard.joined_labels(labels, spark.createDataFrame(links[k : k + 55], "a bigint, b bigint"))
+    parent = list(range(300))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    touched = {x for a, b in links for x in (a, b) if a != b}
+    assert {r["node"]: r["label"] for r in labels.collect()} == {x: root(x) for x in touched}
+
+
+def test_line_limits_work_as_they_are_set(spark):
+    """With the limits of production lines go and documents are rejected, on a small host and, by number alone, on a large one."""
+    own = lambda i: " ".join(f"{chr(97 + i % 26)}{'abcdefghij'[i // 26 % 10]}{'qrstuvwxyz'[i // 260]}{chr(97 + k)}" for k in range(12))
+    banner = "one banner line of ten words that all of them carry"
+    rows_ = [(i, f"{banner}\n{own(i)}", "small") for i in range(12)] + [(100 + i, f"{banner}\n{banner}\nshort text {own(i)[:3]}", "small") for i in range(3)]
+    rows_ += [(1000 + i, (f"{banner}\n" if i % 20 == 0 else "") + own(i), "large") for i in range(2400)]
+    rows_ += [(9000 + i, f"{banner}\n{own(500 + i)}", "few") for i in range(10)]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows_], "doc_id bigint, text string, source string, _base string, _line_nos string")
+    judged = {r["doc_id"]: r for r in line_rules.quality_rules(docs).collect()}
+    assert judged[0]["lost_words"] == 0 and all(judged[i]["lost_words"] == 11 and judged[i]["kept"] for i in range(1, 12))
+    assert all(judged[100 + i]["lost_words"] == 22 and not judged[100 + i]["kept"] for i in range(3))
+    # 120 of 2,400 documents are 5 %; 10 of a host are not more than 10.
+    assert sum(judged[1000 + i]["lost_words"] > 0 for i in range(2400)) == 119
+    assert all(judged[9000 + i]["lost_words"] == 0 for i in range(10))
+    by_number = line_rules.quality_rules(docs.filter("source = 'large'"), min_share=0.5)
+    assert by_number.filter("lost_words > 0").count() == 119
+    kept = {r["doc_id"]: r for r in line_rules.clean_documents(docs).collect()}
+    assert kept[1]["text"] == own(1) and kept[0]["text"].startswith(banner) and 100 not in kept
+    assert (kept[1]["_base"], kept[1]["_line_nos"]) == ("x", "y")
