@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import html as entities
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 from html.entities import html5
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +60,10 @@ ENDS_LIKE = {
 NESTING = ("once", "all", "outermost")
 
 PARSED_TYPE = "struct<blocks:array<struct<pos:int,tag:string,text:string,last_cell:boolean>>,fallback:string>"
+_BLOCK_ARROW = pa.struct([("pos", pa.int32()), ("tag", pa.string()), ("text", pa.string()), ("last_cell", pa.bool_())])
+_PARSED_ARROW = pa.struct([("blocks", pa.list_(_BLOCK_ARROW)), ("fallback", pa.string())])
+# Markup that a task holds parsed at a time; a longer page comes alone.
+PARSED_BYTES = 1 << 20
 
 
 @dataclass(slots=True)
@@ -280,6 +288,19 @@ def parse_blocks(page: str | None, nested: str = "all") -> dict | None:
         return {"blocks": [], "fallback": plain_text(page)}
 
 
+def parsed_batches(batches: Iterator[pa.Array], nested: str) -> Iterator[pa.Array]:
+    """parse_blocks of each page, given out after every PARSED_BYTES of markup, whatever the size of a batch."""
+    for pages in batches:
+        sizes = pc.fill_null(pc.binary_length(pages), 0).to_numpy(zero_copy_only=False)
+        at = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        start = 0
+        while start < len(pages):
+            end = max(start + 1, int(np.searchsorted(at, at[start] + PARSED_BYTES, side="right")) - 1)
+            parsed = [parse_blocks(p, nested) or {"blocks": None, "fallback": None} for p in pages[start:end].to_pylist()]
+            yield pa.array(parsed, _PARSED_ARROW)
+            start = end
+
+
 def page_blocks(html: Column, nested: str = "once") -> Column:
     """struct(blocks, fallback) of an HTML column; only that column goes to Python.
 
@@ -292,10 +313,9 @@ def page_blocks(html: Column, nested: str = "once") -> Column:
     if nested not in NESTING:
         raise ValueError(f"unknown nesting rule {nested!r}")
 
-    @F.pandas_udf(PARSED_TYPE)
-    def blocks(pages: pd.Series) -> pd.DataFrame:
-        parsed = [parse_blocks(p, nested) or {"blocks": None, "fallback": None} for p in pages]
-        return pd.DataFrame(parsed, columns=["blocks", "fallback"])
+    @F.arrow_udf(PARSED_TYPE)
+    def blocks(pages: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return parsed_batches(pages, nested)
 
     # Not to be parsed again in a filter that Spark moves below the projection.
     return blocks.asNondeterministic()(html)

@@ -1,3 +1,4 @@
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pageloom.operators import html
@@ -220,3 +221,22 @@ def test_links_as_a_parser_finds_them(column):
         pages.append(page)
         expected.append([v.strip() for v in found])
     assert column(html.page_hrefs(F.col("a")), *pages) == expected
+
+
+def test_a_batch_of_pages_is_not_held_parsed():
+    page = "".join(f"<p>{i}</p>" for i in range(500))
+    long = "<p>" + "x" * (2 * html.PARSED_BYTES) + "</p>"
+    pages = [None, "", *[page] * 1000, long, None, page]
+    parts = list(html.parsed_batches(iter([pa.array(pages), pa.array([], pa.string()), pa.array(pages[:3])]), "once"))
+    assert max(len(p) for p in parts) <= html.PARSED_BYTES // len(page) + 3
+    got = [b for p in parts for b in p.to_pylist()]
+    expected = [parse_blocks(p, "once") or {"blocks": None, "fallback": None} for p in pages + pages[:3]]
+    assert got == expected
+
+
+def test_a_column_of_many_batches_keeps_its_rows(spark):
+    n = 2500
+    df = spark.range(n).repartition(1).select("id", F.when(F.col("id") % 7 != 0, F.concat(F.lit("<p>"), F.repeat(F.col("id").cast("string"), 400), F.lit("</p>"))).alias("a"))
+    rows = df.select("id", html.page_blocks(F.col("a")).alias("b")).select("id", F.col("b.blocks")[0]["text"].alias("t")).collect()
+    assert len(rows) == n
+    assert all(r["t"] == (None if r["id"] % 7 == 0 else str(r["id"]) * 400) for r in rows)
