@@ -203,15 +203,16 @@ def cut_pieces(
     step = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # of stages before this one
         encoder = encoder_of(tokenizer)
-        for batch in text_slices(batches, 1):
+        for batch in text_slices(batches, 1, 2 << 20):
             rows: list[tuple] = []
             encoded = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
             for doc, raw in zip(batch.column(0).to_pylist(), encoded):
                 ids = np.frombuffer(raw, encoder.dtype).astype("<u4").tobytes() + end
                 for k in range(0, max(len(ids), 1), step):
                     part = ids[k : k + step]
-                    rows.append((doc, k // step, k // 4, len(part) // 4, zlib.crc32(part), part))
+                    rows.append((doc, k // step, k // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
             columns = list(zip(*rows))
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             arrays = [pa.array(c, t) for c, t in zip(columns, types)][: 6 if with_ids else 5]
@@ -245,6 +246,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, block: int = 1 << 16) -
         return out.append_column("offset", pa.array(offset)).combine_chunks()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # What the worker held to cut texts is not needed here.
+        encoder_of.cache_clear()
+        pa.default_memory_pool().release_unused()
         number = TaskContext.get().partitionId() << 33
         rest: pa.Table | None = None
 

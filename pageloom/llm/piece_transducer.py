@@ -14,11 +14,13 @@ to each place has weight 0 then, so a place is a whole state.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,15 @@ SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 _UNKNOWN_SHOWN = " ⁇ "
-_CACHE_SEGMENTS = 1_000_000
+# What the cached segments may take, and about what one takes beside its text and ids.
+_CACHE_BYTES, _ENTRY_BYTES = 80 << 20, 240
+# Text or ids taken at a time: a text's segments take some ten times its bytes.
+_SLICE_BYTES = 1 << 20
+# Pairs of pieces that are kept with whether they may stand side by side.
+_CACHE_PAIRS = 1 << 17
+# Letters of the first 256 code points, which a piece seldom joins with marks.
+_LETTERS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF"
+_MARKS = "!-@\\[-`{-~\n"
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -94,9 +104,17 @@ class PieceTransducer:
         # Where no piece has the space mark behind another character, no arc passes from one word to the next.
         inner = any(SPACE in p.lstrip(SPACE) for p in self._ids)
         self._cut = (lambda t: [t]) if inner else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+        # Nor from letters to marks and back, where no piece has one beside the other.
+        beside = re.compile(f"[{_LETTERS}][{_MARKS}]|[{_MARKS}][{_LETTERS}]")
+        if self.kind == BPE and not inner and not any(map(beside.search, self._ids)):
+            self._cut = re.compile(
+                f"{SPACE}*[{_LETTERS}]+(?=[{_MARKS}{SPACE}]|\\Z)|{SPACE}*[{_MARKS}]+(?=[{_LETTERS}{SPACE}]|\\Z)"
+                f"|{SPACE}*[^{SPACE}]+|{SPACE}+"
+            ).findall
         self._cache: dict[str, bytes] = {}
-        if self.kind == BPE:
-            self._compile_merges(scores)
+        self._cached = 0
+        self._score = scores
+        self._compiled = self.kind != BPE  # merges are compiled when a text is encoded first
 
     @staticmethod
     def _decoded(piece: str, kind: int) -> bytes:
@@ -106,14 +124,14 @@ class PieceTransducer:
 
     # --- Which pieces of a BPE model may stand side by side ---
 
-    def _compile_merges(self, scores: list[float]) -> None:
-        order = sorted(self._ids.values(), key=lambda i: (-scores[i], i))
+    def _compile_merges(self) -> None:
+        order = sorted(self._ids.values(), key=lambda i: (-self._score[i], i))
         self._rank = {i: r for r, i in enumerate(order)}
-        self._score = scores
         self._allowed: dict[tuple[str, str], bool] = {}
         # The two parts that a piece is last merged from; none for single characters and pieces that merging never makes.
         self._parts: dict[str, tuple[str, str] | None] = {p: self._last_merge(p) for p in self._ids}
         self._stands = {p for p in self._ids if len(p) == 1 or self._parts[p] is not None}
+        self._compiled = True
 
     def _merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """The result of merging and the last merge: best score first, then leftmost."""
@@ -237,19 +255,30 @@ class PieceTransducer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian unsigned 32-bit; an empty text has none."""
+        if not self._compiled:
+            self._compile_merges()
+        if self._cached > _CACHE_BYTES:
+            # Frequent segments come early, so the first half stays.
+            self._cache = dict(islice(self._cache.items(), len(self._cache) // 2))
+            self._cached = sum(map(self._held, self._cache, self._cache.values()))
+        if self.kind == BPE and len(self._allowed) > _CACHE_PAIRS:
+            self._allowed.clear()
         cache = self._cache
-        if len(cache) > _CACHE_SEGMENTS:
-            cache.clear()
         cut = [self._cut(self._prefix + t.replace(" ", SPACE)) if t else () for t in texts]
         found = [list(map(cache.get, segments)) for segments in cut]
         missed = [k for k, ids in enumerate(found) if None in ids]
         # In order, so that segments that begin alike follow each other.
         for segment in sorted({s for k in missed for s, ids in zip(cut[k], found[k]) if ids is None}):
-            cache[segment] = self._segment(segment)
+            cache[segment] = ids = self._segment(segment)
+            self._cached += self._held(segment, ids)
         for k in missed:
             found[k] = map(cache.__getitem__, cut[k])
         return [b"".join(ids) for ids in found]
 
+    @staticmethod
+    def _held(segment: str, ids: bytes) -> int:
+        return _ENTRY_BYTES + 2 * len(segment) + len(ids)
+
     # --- Decoding ---
 
     def decode(self, ids: np.ndarray) -> str:
@@ -259,6 +288,12 @@ class PieceTransducer:
         return text[1:] if self._prefix and text.startswith(" ") else text
 
 
+@functools.lru_cache(maxsize=2)
+def coder_of(model: str) -> PieceTransducer:
+    """The compiled model of a worker process: its tasks share it and the cached segments."""
+    return PieceTransducer(model)
+
+
 def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_pieces, n_bytes (pieces of the byte fallback) and ids (little-endian unsigned 32-bit) of each document.
 
@@ -268,9 +303,9 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = PieceTransducer(model)
+        coder = coder_of(model)
         is_byte = np.array([k == BYTE for k in coder.kinds])
-        for batch in text_slices(batches, 1):
+        for batch in text_slices(batches, 1, _SLICE_BYTES):
             ids = coder.encode([t or "" for t in batch.column(1).to_pylist()])
             arrays = [np.frombuffer(b, "<u4") for b in ids]
             yield pa.RecordBatch.from_arrays(
@@ -286,8 +321,8 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
     """doc_id and text of each row of doc_id and ids; null ids give an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = PieceTransducer(model)
-        for batch in text_slices(batches, 1):
+        coder = coder_of(model)
+        for batch in text_slices(batches, 1, _SLICE_BYTES):
             texts = [coder.decode(np.frombuffer(b or b"", "<u4")) for b in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
@@ -299,8 +334,8 @@ def round_trips(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: s
     encoded = encode_documents(docs, model, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = PieceTransducer(model)
-        for batch in text_slices(batches, 3):
+        coder = coder_of(model)
+        for batch in text_slices(batches, 3, _SLICE_BYTES):
             ids = batch.column(3).to_pylist()
             texts = [coder.decode(np.frombuffer(b, "<u4")) for b in ids]
             columns = [*batch.columns[:3], pa.array([zlib.crc32(b) for b in ids], pa.int64()), pa.array(texts, pa.string())]

@@ -12,6 +12,7 @@ import json
 import os
 import re
 from array import array
+from itertools import islice
 
 import numpy as np
 
@@ -33,7 +34,7 @@ def _byte_chars() -> dict[int, str]:
 
 _BYTE_CHARS = _byte_chars()
 # What the cached segments may take, and about what one takes beside its text and ids.
-_CACHE_BYTES, _ENTRY_BYTES = 160 << 20, 250
+_CACHE_BYTES, _ENTRY_BYTES = 80 << 20, 250
 
 
 class _Cache(dict):
@@ -49,6 +50,13 @@ class _Cache(dict):
             self.size += _ENTRY_BYTES + len(key) + len(value)
         return value
 
+    def halve(self) -> None:
+        """Forget the later half; frequent segments come early."""
+        kept = list(islice(self.items(), len(self) // 2))
+        self.clear()
+        self.update(kept)
+        self.size = sum(_ENTRY_BYTES + len(k) + len(v) for k, v in kept)
+
 
 class TextEncoder:
     """Ids of texts as little-endian bytes, those of the library's encode(text, add_special_tokens=False).
@@ -103,8 +111,7 @@ class TextEncoder:
         if self._cut is None:
             return self._ids(texts)
         if self._cache.size > _CACHE_BYTES:
-            self._cache.clear()
-            self._cache.size = 0
+            self._cache.halve()
         get, cut = self._cache.__getitem__, self._cut
         return [self._ids([t])[0] if _ODD.search(t) or self._has_special(t) else b"".join(map(get, cut(t))) for t in texts]
 
