@@ -35,11 +35,9 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 _UNKNOWN_SHOWN = " ⁇ "
 # What the cached segments may take, and about what one takes beside its text and ids.
-_CACHE_BYTES, _ENTRY_BYTES = 80 << 20, 240
-# Text or ids taken at a time: a text's segments take some ten times its bytes.
-_SLICE_BYTES = 1 << 20
+_CACHE_BYTES, _ENTRY_BYTES = 96 << 20, 240
 # Pairs of pieces that are kept with whether they may stand side by side.
-_CACHE_PAIRS = 1 << 17
+_CACHE_PAIRS = 1 << 18
 # Letters of the first 256 code points, which a piece seldom joins with marks.
 _LETTERS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF"
 _MARKS = "!-@\\[-`{-~\n"
@@ -264,16 +262,18 @@ class PieceTransducer:
         if self.kind == BPE and len(self._allowed) > _CACHE_PAIRS:
             self._allowed.clear()
         cache = self._cache
-        cut = [self._cut(self._prefix + t.replace(" ", SPACE)) if t else () for t in texts]
-        found = [list(map(cache.get, segments)) for segments in cut]
-        missed = [k for k, ids in enumerate(found) if None in ids]
+        missed: set[str] = set()
+        for t in texts:
+            missed.update(set(self._segments(t)).difference(cache))
         # In order, so that segments that begin alike follow each other.
-        for segment in sorted({s for k in missed for s, ids in zip(cut[k], found[k]) if ids is None}):
+        for segment in sorted(missed):
             cache[segment] = ids = self._segment(segment)
             self._cached += self._held(segment, ids)
-        for k in missed:
-            found[k] = map(cache.__getitem__, cut[k])
-        return [b"".join(ids) for ids in found]
+        # Cut again, since the segments of all texts take some ten times their bytes.
+        return [b"".join(map(cache.__getitem__, self._segments(t))) for t in texts]
+
+    def _segments(self, text: str) -> list[str]:
+        return self._cut(self._prefix + text.replace(" ", SPACE)) if text else []
 
     @staticmethod
     def _held(segment: str, ids: bytes) -> int:
@@ -305,7 +305,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(model)
         is_byte = np.array([k == BYTE for k in coder.kinds])
-        for batch in text_slices(batches, 1, _SLICE_BYTES):
+        for batch in text_slices(batches, 1):
             ids = coder.encode([t or "" for t in batch.column(1).to_pylist()])
             arrays = [np.frombuffer(b, "<u4") for b in ids]
             yield pa.RecordBatch.from_arrays(
@@ -322,7 +322,7 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(model)
-        for batch in text_slices(batches, 1, _SLICE_BYTES):
+        for batch in text_slices(batches, 1):
             texts = [coder.decode(np.frombuffer(b or b"", "<u4")) for b in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
@@ -335,7 +335,7 @@ def round_trips(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(model)
-        for batch in text_slices(batches, 3, _SLICE_BYTES):
+        for batch in text_slices(batches, 3, 2 << 20):
             ids = batch.column(3).to_pylist()
             texts = [coder.decode(np.frombuffer(b, "<u4")) for b in ids]
             columns = [*batch.columns[:3], pa.array([zlib.crc32(b) for b in ids], pa.int64()), pa.array(texts, pa.string())]

@@ -512,3 +512,28 @@ def test_line_limits_work_as_they_are_set(spark):
     kept = {r["doc_id"]: r for r in line_rules.clean_documents(docs).collect()}
     assert kept[1]["text"] == own(1) and kept[0]["text"].startswith(banner) and 100 not in kept
     assert (kept[1]["_base"], kept[1]["_line_nos"]) == ("x", "y")
+
+
+def test_pieces_of_letters_and_marks_are_cut_and_cached_within_bounds(monkeypatch):
+    whole, cut = piece_transducer.PieceTransducer(PIECES), piece_transducer.PieceTransducer(PIECES)
+    whole._cut = lambda t: [t]
+    texts = ["", "a,b  c.\nÉté1x--", "fooł,bar ▁▁ x_y", "中,a÷b×c", " ,, ", "don't (see [1]): a@b.c"]
+    assert cut.encode(texts) == whole.encode(texts)
+    assert cut._cut(piece_transducer.SPACE + "aux.\nEt") == [piece_transducer.SPACE + "aux", ".\n", "Et"]
+    monkeypatch.setattr(piece_transducer, "_CACHE_BYTES", 20_000)
+    expected = [whole.encode([f"w{i} x{i},"])[0] for i in range(300)]
+    assert [cut.encode([f"w{i} x{i},"])[0] for i in range(300)] == expected
+    assert cut._cached < 21_000
+    assert piece_transducer.coder_of(PIECES) is piece_transducer.coder_of(PIECES)
+
+
+def test_the_encoder_forgets_the_later_half_of_its_segments(monkeypatch):
+    from pageloom.llm import token_ids
+
+    coder, plain = token_ids.TextEncoder(WORD_BPE), token_ids.TextEncoder(WORD_BPE)
+    monkeypatch.setattr(token_ids, "_CACHE_BYTES", 20_000)
+    for i in range(300):
+        text = f"first w{i} x{i},"
+        assert coder.encode([text]) == plain._ids([text])
+    assert "first" in coder._cache
+    assert coder._cache.size < 21_000
