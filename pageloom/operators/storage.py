@@ -9,8 +9,14 @@ from weakref import WeakKeyDictionary
 from pyspark.sql import DataFrame, SparkSession
 
 
-# The step tables each session has written and not removed.
-_STEPS: WeakKeyDictionary[SparkSession, list[str]] = WeakKeyDictionary()
+class _Steps(WeakKeyDictionary):
+    """The step tables each session has written and not removed. What travels to a task with a function is empty: sessions stay on the driver."""
+
+    def __reduce__(self):
+        return _Steps, ()
+
+
+_STEPS: WeakKeyDictionary[SparkSession, list[str]] = _Steps()
 
 
 def _new_step(spark: SparkSession, name: str) -> str:

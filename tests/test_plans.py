@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
@@ -75,6 +76,14 @@ def test_steps_are_written_to_the_named_folder(spark):
     assert checkpoint_dir(spark) == folder and all(folder in f for f in df.inputFiles())
 
 
+def test_functions_that_write_steps_travel_without_the_sessions(spark):
+    """Functions of the package are pickled by value, with the list of steps."""
+    other = spark.newSession()
+    materialize(other.range(3))
+    travelled = cloudpickle.loads(cloudpickle.dumps((materialize, drop_steps)))
+    assert travelled[1](other) == 0 and drop_steps(other) == 1
+
+
 def test_steps_are_removed_on_request(spark):
     """In a session of its own: only its own tables go, the other session's stay."""
     kept = materialize(spark.range(3))
