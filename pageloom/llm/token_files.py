@@ -233,14 +233,16 @@ def write_token_files(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer)
         tail = b"" if end is None else end.to_bytes(encoder.dtype.itemsize, "little")
-        for batch in text_slices(batches, 1):
-            raw = [b + tail for b in encoder.encode([t or "" for t in batch.column(1).to_pylist()])]
+        for batch in text_slices(batches, 1, 4 << 20):
+            raw = encoder.encode_column(batch.column(1), tail)
             keys = batch.column(0).fill_null(_NULL_KEY).to_numpy(zero_copy_only=False)
             low, high = np.searchsorted(limits, keys, "left"), np.searchsorted(limits, keys, "right")
             # An id equal to several limits may lie in any shard between them: equal ids have no order among shards.
-            shard = low + np.array([zlib.crc32(b) for b in raw], np.int64) % (high - low + 1)
+            shard = low.copy()
+            for k in np.flatnonzero(high > low).tolist():
+                shard[k] += zlib.crc32(raw[k].as_py()) % (high[k] - low[k] + 1)
             width = pa.array(np.full(len(raw), encoder.dtype.itemsize, np.int8))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shard, pa.int32()), width, pa.array(raw, pa.binary())], names=["doc_id", "shard", "width", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shard, pa.int32()), width, raw], names=["doc_id", "shard", "width", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, current = None, None

@@ -537,3 +537,33 @@ def test_the_encoder_forgets_the_later_half_of_its_segments(monkeypatch):
         assert coder.encode([text]) == plain._ids([text])
     assert "first" in coder._cache
     assert coder._cache.size < 21_000
+
+
+@pytest.mark.parametrize("path", [WORD_BPE, BYTE_BPE])
+def test_a_column_is_encoded_as_the_library_does(path):
+    """White space of all kinds and sizes, marks beside letters, texts left to the library, nulls and an end."""
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from pageloom.llm.token_ids import TextEncoder
+
+    coder, library, draw = TextEncoder(path), Tokenizer.from_file(path), random.Random(3)
+    signs = list(" \n\t\r\x0b\x0c\x1c\x1f\x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000\u200b\xd7\xf7.,<'(~1aZ\xe9\xdf\u0301\u0338\u03a3\u4e2d\U0001f600\0")
+    signs += [" ", "  ", "'s", "'re", "<|endoftext|>", "<|", "word", "Word,"]
+    for n in [0, 1, 2, 40, 400]:
+        texts = ["".join(draw.choices(signs, k=draw.choice([0, 1, 2, 3, 9, 30]))) for _ in range(n)]
+        expected = [np.array(library.encode(t, add_special_tokens=False).ids, coder.dtype).tobytes() for t in texts]
+        assert coder.encode(texts) == expected
+        column = pa.array(["cut off", None, *texts], pa.string()).slice(1)
+        assert coder.encode_column(column, b"\2\0").to_pylist() == [b + b"\2\0" for b in [b"", *expected]]
+
+
+def test_a_word_is_asked_of_the_library_once_whatever_marks_follow():
+    from pageloom.llm.token_ids import TextEncoder
+
+    coder = TextEncoder(BYTE_BPE)
+    texts = [f"(é{'abcdefghij'[i % 10] * 9}{mark} abc{mark}" for i in range(200) for mark in ",.;:"]
+    assert coder.encode(texts) == coder._ids(texts)
+    assert len(coder._cache) == 1 + 10 + 1 + 4  # the bracket, the words, abc and the marks
